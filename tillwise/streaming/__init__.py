@@ -1,0 +1 @@
+"""Reserved: every job of this project is a batch job, so nothing streams yet."""
