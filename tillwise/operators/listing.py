@@ -38,7 +38,7 @@ def filtered(df: DataFrame, filters: Iterable[Filter] = (), user_id: int | None
         _known(df, field)
         if comparison not in COMPARISONS:
             raise ValueError(f"unknown comparison {comparison!r}")
-        df = df.filter(COMPARISONS[comparison](F.col(field), F.lit(value)))
+        df = df.filter(COMPARISONS[comparison](F.col(field), value))
     return df if user_id is None else df.filter(F.col("user_id") == user_id)
 
 

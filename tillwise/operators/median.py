@@ -2,62 +2,73 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A decimal(20,6) shifted to be positive is a number below 2 * 10^20: a first digit group below 2 * 10^5, then three of 10^5.
-_SCALE = 6
-_SHIFT = 10**20
-_GROUPS = (10**15, 10**10, 10**5, 1)
-_BASE = 10**5
+# A decimal(20,6) is split into its whole part, shifted to be positive (below 2 * 10^14, i.e. two groups of 24 bits),
+# and its millionths.
+_SHIFT = 10**14
+_GROUP_BITS = 24
+_GROUPS = 3
 
 
 def exact_median(df: DataFrame, column: str, name: str) -> DataFrame:
     """One row: the median of a money column, interpolated between the two middle values; NULL without rows.
 
     ``percentile`` would keep every distinct value in one task. Here the values are first counted (combined map-side),
-    then the two middle ranks are narrowed down digit group by digit group. Each step builds a histogram of at most
-    2 * 10^5 bins for the running total; the counted values are shuffled once and reused by all steps.
+    then the two middle ranks are narrowed down digit group by digit group: each step builds a histogram of at most
+    2^24 bins per rank for a running total. The counted values are shuffled once and reused by all steps.
     """
-    value = F.col(column).cast(f"decimal(20,{_SCALE})")
-    counted = df.select(value.alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_n")
+    value = F.col(column).cast("decimal(20,6)")
+    whole = F.floor(value)
+    counted = (
+        df.filter(F.col(column).isNotNull())
+        .select(
+            whole.cast("long").alias("_whole"), ((value - whole) * F.lit(10**6)).cast("int").alias("_millionths")
+        )
+        .groupBy("_whole", "_millionths")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    shifted = (F.col("_v") * _number(10**_SCALE)).cast("decimal(26,0)") + _number(_SHIFT)
+    shifted = F.col("_whole") + F.lit(_SHIFT)
     digits = [
-        (F.floor(shifted / _number(weight)).cast("decimal(27,0)") % _number(2 * _BASE if i == 0 else _BASE)).cast("long")
-        for i, weight in enumerate(_GROUPS)
+        F.shiftright(shifted, _GROUP_BITS), shifted.bitwiseAND(F.lit((1 << _GROUP_BITS) - 1)), F.col("_millionths")
     ]
-    values = counted.select("_n", *[d.alias(f"_d{i}") for i, d in enumerate(digits)])
+    # coalesce: without it the optimizer adds a different NULL filter per step and the shuffle is not reused.
+    values = counted.select(
+        "_n", *[F.coalesce(digit.cast("long"), F.lit(0)).alias(f"_d{i}") for i, digit in enumerate(digits)]
+    )
 
-    total = values.agg(F.sum("_n").alias("_total"))
-    middle = F.array(F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2))
-    # One row per wanted rank: two rows in every step.
-    wanted = total.select(F.posexplode(middle).alias("_target", "_rank")).filter(F.col("_rank").isNotNull())
+    wanted = None  # the digits found so far and the rank left among their values: one row per middle rank
     path: list[str] = []
-    for level in range(len(_GROUPS)):
+    for level in range(_GROUPS):
         digit = f"_d{level}"
-        bins = (
-            values.join(F.broadcast(wanted), path, "inner") if path else values.crossJoin(F.broadcast(wanted))
-        ).groupBy("_target", "_rank", *path, digit).agg(F.sum("_n").alias("_n"))
-        running = F.sum("_n").over(
-            Window.partitionBy("_target").orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        hit = bins.withColumn("_upto", running).filter(
-            (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-        )
+        if wanted is None:
+            bins = values.groupBy(digit).agg(F.sum("_n").alias("_n"))
+            in_order = Window.orderBy(digit)
+            total = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            ranks = F.array(F.floor((total + 1) / 2), F.floor((total + 2) / 2))
+        else:
+            bins = (
+                values.join(F.broadcast(wanted), path)  # two rows
+                .groupBy("_target", "_rank", *path, digit)
+                .agg(F.sum("_n").alias("_n"))
+            )
+            in_order = Window.partitionBy("_target").orderBy(digit)
+            ranks = None
+        upto = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
+        if ranks is not None:
+            placed = bins.select("*", upto, ranks.alias("_ranks")).select(
+                *path, digit, "_n", "_upto", F.posexplode("_ranks").alias("_target", "_rank")
+            )
+        else:
+            placed = bins.select("*", upto)
+        before = F.col("_upto") - F.col("_n")
+        hit = placed.filter((F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank")))
         path = [*path, digit]
-        wanted = hit.select("_target", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), *path)
-    number = sum(
-        (F.col(f"_d{i}").cast("decimal(6,0)") * _number(weight) for i, weight in enumerate(_GROUPS)),
-        _number(-_SHIFT),
-    ).cast("decimal(26,0)")
-    middle_value = F.sum(number) / F.count(F.lit(1)) / _number(10**_SCALE)
-    # One decimal place finer than the values, so that the mean of two of them is exact.
-    return wanted.agg(middle_value.cast(f"decimal(21,{_SCALE + 1})").alias(name))
+        wanted = hit.select("_target", (F.col("_rank") - before).alias("_rank"), *path)
 
-
-def _number(value: int) -> Column:
-    return F.lit(Decimal(value))
+    whole = F.shiftleft("_d0", _GROUP_BITS) + F.col("_d1") - F.lit(_SHIFT)
+    millionths = whole.cast("decimal(15,0)") * F.lit(10**6) + F.col("_d2").cast("decimal(7,0)")
+    middle_value = F.sum(millionths) / F.count(F.lit(1)) / F.lit(10**6)
+    # One decimal place finer than the values, so that the mean of two of them is exact.
+    return wanted.agg(middle_value.cast("decimal(21,7)").alias(name))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +16,22 @@ from tillwise.sources.store import Store
 VERSIONED = ("dim_address", "dim_customer", "dim_product", "dim_order_state")
 
 
-@dataclass(frozen=True)
 class Warehouse:
-    dim_date: DataFrame
-    dim_time: DataFrame
-    dim_customer: DataFrame
-    dim_product: DataFrame
-    fact_cart_line: DataFrame
-    fact_order_line: DataFrame
-    fact_order_history: DataFrame
-    fact_order: DataFrame
-    dim_address: DataFrame | None = None
-    dim_order_state: DataFrame | None = None
-    dim_attribute: DataFrame | None = None
-    bridge_product_attribute: DataFrame | None = None
-    # Day numbered 1 in dim_date, if the date keys number the days in order.
-    first_day: dt.date | None = None
+    """Tables by attribute (``dw.fact_order``), each looked up at its first use.
+
+    ``first_day`` is the day numbered 1 in ``dim_date``, if its keys number the days in order.
+    """
+
+    def __init__(self, tables: Callable[[str], DataFrame], first_day: dt.date | None = None):
+        self._tables = tables
+        self.first_day = first_day
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in WAREHOUSE:
+            raise AttributeError(name)
+        table = self._tables(name)
+        setattr(self, name, table)
+        return table
 
     def within(self, fact: DataFrame, period: Period, *date_columns: str) -> DataFrame:
         """Fact rows whose day lies in the period, with the wanted ``dim_date`` columns.
@@ -52,14 +52,15 @@ class Warehouse:
 
 def read_warehouse(store: Store) -> Warehouse:
     """Star schema kept in a store."""
-    tables = {}
-    for name, schema in WAREHOUSE.items():
+
+    def table(name: str) -> DataFrame:
+        schema = WAREHOUSE[name]
         if name in VERSIONED:
-            tables[name] = store.versions(name, schema)
-        elif name in PARTITIONED_FACTS:
-            tables[name] = store.appended(name, schema, PARTITION_COLUMN)
-        elif name.startswith("bridge"):
-            tables[name] = store.appended(name, schema)
-        else:
-            tables[name] = store.replaced(name, schema)
-    return Warehouse(**tables, first_day=FIRST_DAY)
+            return store.versions(name, schema)
+        if name in PARTITIONED_FACTS:
+            return store.appended(name, schema, PARTITION_COLUMN)
+        if name.startswith("bridge"):
+            return store.appended(name, schema)
+        return store.replaced(name, schema)
+
+    return Warehouse(table, FIRST_DAY)

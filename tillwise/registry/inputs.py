@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -267,13 +268,13 @@ INPUTS: dict[str, str] = {
         FROM {{orders}}""",
     "run_events": """
         SELECT CAST(event_id AS STRING) AS id, event_type AS job_name, 'RUNNING' AS status,
-               CAST(ts AS TIMESTAMP) AS at, CAST(NULL AS STRING) AS message, CAST(NULL AS INT) AS tables_processed,
+               CAST(ts AS TIMESTAMP) AS "at", CAST(NULL AS STRING) AS message, CAST(NULL AS INT) AS tables_processed,
                CAST(user_id AS STRING) AS task_id
         FROM {events}
         UNION ALL
         SELECT CAST(event_id AS STRING) AS id, CAST(NULL AS STRING) AS job_name,
                CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'RUNNING' ELSE 'SUCCESS' END AS status,
-               CAST(ts AS TIMESTAMP) + INTERVAL 1 HOUR AS at, 'event ' || event_type AS message,
+               CAST(ts AS TIMESTAMP) + INTERVAL 1 HOUR AS "at", 'event ' || event_type AS message,
                CAST(event_id % 12 AS INT) AS tables_processed, CAST(NULL AS STRING) AS task_id
         FROM {events}""",
     "run_list": """
@@ -377,14 +378,20 @@ def _raw_select(target: str) -> tuple[str, str]:
 INPUTS |= dict(_raw_select(target) for target in SPECS)
 
 
+@cache
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def spark_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    places = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in TABLES}
     days = {
         "order_day": _SPARK_DAY.format("o_orderdate"),
         "ship_day": _SPARK_DAY.format("l_shipdate"),
         "event_day": _SPARK_DAY.format("ts"),
     }
-    return spark.sql(re.sub(r'AS "(\w+)"', r"AS `\1`", INPUTS[name]).format(**places, **days))
+    used = [t for t in TABLES if f"{{{t}}}" in INPUTS[name]]
+    text = re.sub(r'AS "(\w+)"', r"AS `\1`", INPUTS[name]).format(**{t: f"{{{t}}}" for t in TABLES}, **days)
+    return spark.sql(text, **{t: _table(spark, sf_dir, t) for t in used})
 
 
 def duckdb_input(name: str) -> str:

@@ -75,10 +75,8 @@ class Inputs:
 
     @property
     def warehouse(self) -> Warehouse:
-        names = ("dim_customer", "dim_product", "fact_cart_line", "fact_order_line", "fact_order_history", "fact_order")
-        return Warehouse(
-            dim_date=self.dim_date, dim_time=self.dim_time, first_day=CALENDAR_START, **{n: self(n) for n in names}
-        )
+        generated = {"dim_date": lambda: self.dim_date, "dim_time": lambda: self.dim_time}
+        return Warehouse(lambda name: generated[name]() if name in generated else self(name), CALENDAR_START)
 
 
 def _report(build: Callable[[Warehouse], DataFrame], *money: str) -> Query:
