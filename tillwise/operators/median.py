@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,6 @@ def exact_median(df: DataFrame, column: str, name: str) -> DataFrame:
 
     whole = F.shiftleft("_d0", _GROUP_BITS) + F.col("_d1") - F.lit(_SHIFT)
     millionths = whole.cast("decimal(15,0)") * F.lit(10**6) + F.col("_d2").cast("decimal(7,0)")
-    middle_value = F.sum(millionths) / F.count(F.lit(1)) / F.lit(10**6)
-    # One decimal place finer than the values, so that the mean of two of them is exact.
-    return wanted.agg(middle_value.cast("decimal(21,7)").alias(name))
+    # Two rows; half a millionth of their sum is exact with one decimal place more than the values have.
+    total = F.sum(millionths).cast("decimal(24,0)")
+    return wanted.agg((total * F.lit(Decimal("0.0000005"))).cast("decimal(22,7)").alias(name))
