@@ -38,37 +38,42 @@ def _columns(spec: str) -> dict[str, str]:
     return dict(item.split(":") for item in spec.split())
 
 
+def _own(read: TableReader, target: str, brought: list[str], keys: list[str]) -> DataFrame:
+    """The source's own part of a joined extraction: its join keys and the columns no other table brings."""
+    own = [c for c in SPECS[target].columns if c not in brought]
+    return read(SPECS[target].source).select(*[f"`{c}`" for c in dict.fromkeys([*keys, *own])])
+
+
 def product_variants(read: TableReader) -> DataFrame:
     """One row per product variant; a product without variants keeps one row."""
     variants = read("ps_product_attribute").select("id_product", "id_product_attribute")
-    return fanout_left_join(read("ps_product"), variants, ["id_product"])
+    return fanout_left_join(_own(read, "sg_product", ["id_product_attribute"], []), variants, ["id_product"])
 
 
 def carts_with_carrier(read: TableReader) -> DataFrame:
     carriers = read("ps_carrier").select("id_carrier", F.col("name").alias("carrier"))
-    return _distinct(read("ps_cart").join(carriers, "id_carrier", "left"), "sg_cart")
+    return _distinct(_own(read, "sg_cart", ["carrier"], ["id_carrier"]).join(carriers, "id_carrier", "left"), "sg_cart")
 
 
 def orders_with_carrier(read: TableReader) -> DataFrame:
     """An order shipped by two carriers yields two rows; only exact repeats are removed."""
     carriers = read("ps_carrier").select("id_carrier", F.col("name").alias("carrier"))
     shipped = read("ps_order_carrier").select("id_order", "id_carrier")
-    orders = read("ps_orders")
-    own = [c for c in orders.columns if c not in ("id_carrier", "carrier")]
-    joined = fanout_left_join(orders.select(*own), shipped, ["id_order"]).join(carriers, "id_carrier", "left")
-    return _distinct(joined, "sg_orders")
+    orders = fanout_left_join(_own(read, "sg_orders", ["carrier"], []), shipped, ["id_order"])
+    return _distinct(orders.join(carriers, "id_carrier", "left"), "sg_orders")
 
 
 def order_lines_with_tax(read: TableReader) -> DataFrame:
     """A line taxed twice yields two rows; only exact repeats are removed."""
     taxes = read("ps_tax").select("id_tax", F.col("rate").alias("tax_rate"), F.col("name").alias("tax_name"))
     taxed = read("ps_order_detail_tax").select("id_order_detail", "id_tax")
-    lines = fanout_left_join(read("ps_order_detail"), taxed, ["id_order_detail"])
+    own = _own(read, "sg_order_detail", ["tax_rate", "tax_name"], [])
+    lines = fanout_left_join(own, taxed, ["id_order_detail"])
     return _distinct(lines.join(taxes, "id_tax", "left"), "sg_order_detail")
 
 
 def payments_with_order(read: TableReader) -> DataFrame:
-    payments = read("ps_order_payment").drop("id_order")
+    payments = _own(read, "sg_order_payment", ["id_order"], ["order_reference"])
     orders = read("ps_orders").select(F.col("reference").alias("order_reference"), "id_order")
     return _distinct(fanout_left_join(payments, orders, ["order_reference"]), "sg_order_payment")
 
