@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
@@ -13,33 +13,36 @@ HOT_SHARE = 0.001
 _SPREAD = 1 << 20
 
 
+def known(columns: list[str]) -> Column:
+    return reduce(and_, [F.col(f"`{c}`").isNotNull() for c in columns])
+
+
 def fanout_left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left outer join whose *right* side may repeat a key very often.
+    """Left outer join in which either side may repeat a key very often.
 
-    AQE can split a hot partition of a left outer join on the left side only, of an inner join on both. So the
-    matching rows come from an inner join and the unmatched ones from an anti join against the distinct keys.
+    AQE can split a hot partition of a left outer join on the left side only, of an inner join on both. So the right
+    side is padded with one empty row per left key it lacks, found on the distinct keys alone, and the join becomes an
+    inner one. Rows without a key stay out of the shuffle.
     """
     extra = [c for c in right.columns if c not in on]
-    matched = left.join(right, on, "inner")
-    keys = right.select(*on).distinct()
-    unmatched = left.join(keys, on, "left_anti")
-    return matched.unionByName(
-        unmatched.select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
-    )
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra]
+    keys = left.select(*on).filter(known(on)).distinct()
+    missing = keys.join(right.select(*on).distinct(), on, "left_anti")
+    padded = right.unionByName(missing.select(*on, *nothing))
+    return left.join(padded, on, "inner").unionByName(left.filter(~known(on)).select("*", *nothing))
 
 
 def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows of ``df``: fewer than ``1 / share`` rows.
+    """Keys holding more than ``share`` of the rows of ``df`` with a key: fewer than ``1 / share`` rows.
 
     The count is combined map-side, so a hot key costs one row per task.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.select(*on).filter(known(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("_total"))
     return (
         counts.crossJoin(F.broadcast(total))  # one row
-        .filter((F.col("_rows") > F.col("_total") * share))
+        .filter(F.col("_rows") > F.col("_total") * share)
         .select(*on)
-        .dropna("any")
     )
 
 
@@ -54,12 +57,11 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], hot_from: DataFrame
     """
     extra = [c for c in right.columns if c not in on]
     hot = F.broadcast(hot_keys(hot_from if hot_from is not None else left.select(*on), on))
-    packed = right.select(*on, F.struct(*extra).alias("_values"))
+    packed = right.filter(known(on)).select(*on, F.struct(*extra).alias("_values"))
     hot_right = F.broadcast(packed.join(hot, on, "inner").select(*on, F.col("_values").alias("_hot")))
-    no_key = reduce(or_, [F.col(c).isNull() for c in on])
     row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
     tagged = left.join(hot_right, on, "left").withColumn(
-        "_spread", F.when(F.col("_hot").isNotNull() | no_key, F.pmod(row, F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
+        "_spread", F.when(F.col("_hot").isNotNull() | ~known(on), F.pmod(row, F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
     )
     # Always 0, but not a literal: the optimizer would move a literal out of the join key.
     cold = packed.withColumn("_spread", F.pmod(F.xxhash64(*on), F.lit(1)))
