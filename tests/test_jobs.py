@@ -290,3 +290,19 @@ def test_store_hides_uncommitted_runs_and_deletes(spark, tmp_path):
     store.write("t", spark.createDataFrame([], layout))
     assert store.highest_key("t", "id") == 2
     assert rows(store.appended("t", layout, since_run=1)) == [(2, "b")]
+
+
+def test_expire_keeps_history(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    layout = schema("key:long bk:long valid_from:date valid_to:date")
+    old = dt.date(2020, 1, 1)
+    for run in range(1, 5):
+        store.write_versions("d", spark.createDataFrame([(run, 1, old, OPEN_END), (run - 1, 1, old, old)], layout))
+        store.write("t", spark.createDataFrame([(run, run, old, old)], layout))
+    versions = rows(store.versions("d", layout), "key", "valid_to")
+    store.expire("d", versioned=True)
+    store.expire("t")
+    assert rows(store.versions("d", layout), "key", "valid_to") == versions and len(versions) == 5
+    assert rows(store.current("d", layout).select("key")) == [(4,)]
+    assert store.runs("t") == [3, 4] and store.runs("d") == [1, 2, 3, 4]
+    assert store.highest_key("d", "key") == 4

@@ -63,8 +63,9 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], hot_from: DataFrame
     tagged = left.join(hot_right, on, "left").withColumn(
         "_spread", F.when(F.col("_hot").isNotNull() | ~known(on), F.pmod(row, F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
     )
-    # Always 0, but not a literal: the optimizer would move a literal out of the join key.
-    cold = packed.withColumn("_spread", F.pmod(F.xxhash64(*on), F.lit(1)))
+    # Always 0, but not a literal: the optimizer would move a literal out of the join key. The coalesce keeps it from
+    # adding a NULL filter that would stop this side from sharing the shuffle of the hot side.
+    cold = packed.withColumn("_spread", F.coalesce(F.pmod(F.xxhash64(*on), F.lit(1)), F.lit(0)))
     joined = tagged.join(cold, [*on, "_spread"], "left")
     values = F.coalesce("_hot", "_values")
     return joined.select(*[f"`{c}`" for c in left.columns], *[values[c].alias(c) for c in extra])

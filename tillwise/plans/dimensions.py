@@ -49,7 +49,7 @@ def customer_rows(stage: TableReader) -> DataFrame:
         .agg(F.max("name").alias("defaultgroup"))
     )
     genders = stage("sg_gender").groupBy("id_gender").agg(F.max("name").alias("gender"))
-    companies = stage("sg_customer_company").select("id_customer", F.lit(True).alias("is_company")).distinct()
+    companies = stage("sg_customer_company").select("id_customer").distinct().withColumn("is_company", F.lit(True))
     rows = attach(customers, groups, ["id_default_group"], customers)
     rows = attach(rows, genders, ["id_gender"], customers)
     return rows.join(companies, "id_customer", "left").select(

@@ -53,7 +53,9 @@ def run_stage(store: Store, read: TableReader, clock: Clock = _now, targets: Ite
 
     def reload(target: str) -> Callable[[], bool]:
         def step() -> bool:
-            store.write(f"{STAGE_PREFIX}/{target}", SPECS[target].apply(read))
+            table = f"{STAGE_PREFIX}/{target}"
+            store.write(table, SPECS[target].apply(read))
+            store.expire(table)
             return True
 
         return step
@@ -77,6 +79,7 @@ def _load_dimension(store: Store, dimension: dimensions.Dimension, stage: TableR
     rows = dimension.step(stage, store.current(dimension.name, schema), as_of).hint("rebalance")
     keyed = with_new_keys(rows, dimension.key, store.highest_key(dimension.name, dimension.key))
     store.write_versions(dimension.name, keyed)
+    store.expire(dimension.name, versioned=True)
     return True
 
 
@@ -85,6 +88,7 @@ def _load_attributes(store: Store, stage: TableReader) -> bool:
     rows = dimensions.attributes_merged(stage, store.replaced("dim_attribute", schema)).hint("rebalance")
     keyed = with_new_keys(rows, "attribute_key", store.highest_key("dim_attribute", "attribute_key"))
     store.write("dim_attribute", keyed)
+    store.expire("dim_attribute")
     return True
 
 

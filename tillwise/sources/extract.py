@@ -56,20 +56,23 @@ def carts_with_carrier(read: TableReader) -> DataFrame:
 
 
 def orders_with_carrier(read: TableReader) -> DataFrame:
-    """An order shipped by two carriers yields two rows; only exact repeats are removed."""
+    """An order shipped by two carriers yields two rows; only exact repeats are removed.
+
+    Both sides are made distinct before the join, so the wide rows are never compared after the fan-out.
+    """
     carriers = read("ps_carrier").select("id_carrier", F.col("name").alias("carrier"))
-    shipped = read("ps_order_carrier").select("id_order", "id_carrier")
-    orders = fanout_left_join(_own(read, "sg_orders", ["carrier"], []), shipped, ["id_order"])
-    return _distinct(orders.join(carriers, "id_carrier", "left"), "sg_orders")
+    shipped = read("ps_order_carrier").select("id_order", "id_carrier").join(carriers, "id_carrier", "left")
+    names = shipped.select("id_order", "carrier").distinct()
+    return fanout_left_join(_own(read, "sg_orders", ["carrier"], []).distinct(), names, ["id_order"])
 
 
 def order_lines_with_tax(read: TableReader) -> DataFrame:
-    """A line taxed twice yields two rows; only exact repeats are removed."""
+    """A line taxed twice yields two rows; only exact repeats are removed, before the join as above."""
     taxes = read("ps_tax").select("id_tax", F.col("rate").alias("tax_rate"), F.col("name").alias("tax_name"))
-    taxed = read("ps_order_detail_tax").select("id_order_detail", "id_tax")
-    own = _own(read, "sg_order_detail", ["tax_rate", "tax_name"], [])
-    lines = fanout_left_join(own, taxed, ["id_order_detail"])
-    return _distinct(lines.join(taxes, "id_tax", "left"), "sg_order_detail")
+    taxed = read("ps_order_detail_tax").select("id_order_detail", "id_tax").join(taxes, "id_tax", "left")
+    rates = taxed.select("id_order_detail", "tax_rate", "tax_name").distinct()
+    lines = _own(read, "sg_order_detail", ["tax_rate", "tax_name"], []).distinct()
+    return fanout_left_join(lines, rates, ["id_order_detail"])
 
 
 def payments_with_order(read: TableReader) -> DataFrame:

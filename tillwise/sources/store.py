@@ -38,6 +38,10 @@ class Store:
         markers = self._glob(f"{self.root}/{table}/run=*/_SUCCESS")
         return sorted(int(marker.split("/run=")[1].split("/")[0]) for marker in markers)
 
+    def _delete(self, path: str) -> None:
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
     def _path(self, table: str, run: int) -> str:
         return f"{self.root}/{table}/run={run:06d}"
 
@@ -89,6 +93,14 @@ class Store:
     def write_versions(self, table: str, rows: DataFrame) -> int:
         return self.write(table, rows.withColumn("open", F.col("valid_to") == F.lit(OPEN_END)), "open")
 
+    def expire(self, table: str, keep: int = 2, versioned: bool = False) -> None:
+        """Drop what newer runs have replaced, keeping the last ``keep`` runs for readers still at work.
+
+        Of a versioned dimension only the old current parts go; the rows closed by each run are its history.
+        """
+        for run in self.runs(table)[:-keep]:
+            self._delete(f"{self._path(table, run)}/open=true" if versioned else self._path(table, run))
+
     def highest_key(self, table: str, key: str) -> int:
         """Largest surrogate key handed out so far.
 
