@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tillwise.operators.calendar import date_frame, time_frame
 from tillwise.operators.facts import delete_where, incremental_append, rejected
-from tillwise.operators.joins import attach, fanout_left_join, hot_keys
+from tillwise.operators.joins import attach, fanout_left_join, hot_keys, key_hash
 from tillwise.operators.listing import filtered, last_page, page_count, page_rows
 from tillwise.operators.lookup import calendar_keys, lookup_key
 from tillwise.operators.median import exact_median
@@ -78,8 +78,9 @@ def test_attach_matches_plain_left_join_with_hot_and_missing_keys(spark):
     right = spark.createDataFrame([(k, f"v{k}", None if k == 5 else k * 2) for k in range(300)], "k long, a string, b long")
     got = attach(left, right, ["k"])
     assert rows(got, "k", "x", "a", "b") == rows(left.join(right, "k", "left").select("k", "x", "a", "b"), "k", "x", "a", "b")
-    hot = {k for (k,) in rows(hot_keys(left, ["k"], 0.05))}
-    assert hot == {1, 77777}
+    by_hash = dict(rows(left.select(key_hash(["k"]), "k").distinct()))
+    assert {by_hash[h] for (h,) in rows(hot_keys(left, ["k"], 0.05))} == {1, 77777}
+    assert rows(hot_keys(left.limit(0), ["k"])) == []
 
 
 def test_attach_on_two_columns(spark):
@@ -124,6 +125,15 @@ def test_incremental_append_keeps_repeats(spark):
     assert rows(incremental_append(stage, fact, ["k"])) == [(1, "a"), (1, "a")]
 
 
+def test_incremental_append_with_hot_and_missing_keys(spark):
+    keys = [1] * 700 + [2] * 500 + [None] * 20 + list(range(10, 3000))
+    stage = spark.createDataFrame([(k, 5, f"v{i % 9}") for i, k in enumerate(keys)], "a long, b long, v string")
+    fact = spark.createDataFrame([(k, 5) for k in [2] * 300 + list(range(0, 3000, 3))], "a long, b long")
+    expected = stage.join(fact, ["a", "b"], "left_anti").select("a", "b", "v")
+    got = incremental_append(stage, fact, ["a", "b"])
+    assert rows(got, "a", "b", "v") == rows(expected, "a", "b", "v")
+
+
 def test_rejected_and_delete(spark):
     df = spark.createDataFrame([(1, 5, 6), (2, None, 6), (3, 5, None)], "id long, a long, b long")
     assert rows(rejected(df, ["a", "b"]).select("id", "missing_key"), "id") == [(2, "a"), (3, "b")]

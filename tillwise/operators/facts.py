@@ -8,10 +8,25 @@ from operator import and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def incremental_append(stage: DataFrame, fact: DataFrame, keys: list[str]) -> DataFrame:
-    """Stage rows whose key is not in the fact yet. Repeats inside the batch are kept."""
-    return stage.join(fact.select(*keys), keys, "left_anti")
+from tillwise.operators.joins import hot_keys, key_hash
+
+
+def incremental_append(
+    stage: DataFrame, fact: DataFrame, keys: list[str], hot_from: DataFrame | None = None
+) -> DataFrame:
+    """Stage rows whose key is not in the fact yet. Repeats inside the batch are kept.
+
+    Known keys are made distinct first, so copies in the fact are combined map-side. Stage rows of hot keys (see
+    ``hot_keys``) never enter the shuffle: they are held against a broadcast of those few keys.
+    ``hot_from`` may name a narrower source of the same key distribution. Without hot keys AQE drops that route.
+    """
+    known_keys = fact.select(*keys)
+    hot = F.broadcast(hot_keys(hot_from if hot_from is not None else stage.select(*keys), keys))
+    known_hot = known_keys.withColumn("_hash", key_hash(keys)).join(hot, "_hash", "left_semi").select(*keys).distinct()
+    hashed = stage.withColumn("_hash", key_hash(keys))
+    rest = hashed.join(hot, "_hash", "left_anti").join(known_keys.distinct(), keys, "left_anti")
+    aside = hashed.join(hot, "_hash", "left_semi").join(F.broadcast(known_hot), keys, "left_anti")
+    return rest.select(*stage.columns).unionByName(aside.select(*stage.columns))
 
 
 def resolved(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
+MAX_HOT_KEYS = 1000
+# Items a frequency sketch tracks: its error, rows / (0.75 * items), stays far below HOT_SHARE.
+_SKETCH_ITEMS = 8192
+# Sketches of scan tasks are merged by this many tasks first, so that no task receives one from each scan task.
+_SKETCH_GROUPS = 512
 _SPREAD = 1 << 20
 
 
@@ -32,24 +37,39 @@ def fanout_left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFr
     return left.join(padded, on, "inner").unionByName(left.filter(~known(on)).select("*", *nothing))
 
 
+def key_hash(on: list[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in on])
+
+
 def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows of ``df`` with a key: fewer than ``1 / share`` rows.
+    """``_hash``: key hashes holding more than ``share`` of the rows of ``df`` that have a key, at most MAX_HOT_KEYS.
 
-    The count is combined map-side, so a hot key costs one row per task.
+    A frequency sketch finds them in one scan without shuffling keys. It only decides which rows take the broadcast
+    route; results do not depend on it.
     """
-    counts = df.select(*on).filter(known(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total"))
+    state = "approx_top_k_accumulate(_hash, {0})".format(_SKETCH_ITEMS)
+    partial = (
+        df.filter(known(on))
+        .select(key_hash(on).alias("_hash"), F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_group"))
+        .groupBy("_group")
+        .agg(F.expr(state).alias("_state"), F.count(F.lit(1)).alias("_rows"))
+    )
+    # Grouped by a constant, because without groups an empty input would still be combined, which fails.
+    top = partial.groupBy((F.col("_group") >= 0).alias("_all")).agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(_state, {_SKETCH_ITEMS}), {MAX_HOT_KEYS})").alias("_top"),
+        F.sum("_rows").alias("_rows"),
+    )
     return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .filter(F.col("_rows") > F.col("_total") * share)
-        .select(*on)
+        top.select("_rows", F.explode("_top").alias("_item"))
+        .filter(F.col("_item.count") > F.col("_rows") * share)
+        .select(F.col("_item.item").alias("_hash"))
     )
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], hot_from: DataFrame | None = None) -> DataFrame:
     """Left outer join to a ``right`` that has one row per key, balanced for hot keys on the left.
 
-    Rows of hot keys take their values from a broadcast of the matching right rows (fewer than 1 / HOT_SHARE of them,
+    Rows of hot keys take their values from a broadcast of the matching right rows (at most MAX_HOT_KEYS of them,
     whatever the data size) and travel through the shuffle spread over extra join values that match nothing. All
     other rows join as usual. NULL keys never match and are spread the same way.
 
@@ -58,7 +78,9 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], hot_from: DataFrame
     extra = [c for c in right.columns if c not in on]
     hot = F.broadcast(hot_keys(hot_from if hot_from is not None else left.select(*on), on))
     packed = right.filter(known(on)).select(*on, F.struct(*extra).alias("_values"))
-    hot_right = F.broadcast(packed.join(hot, on, "inner").select(*on, F.col("_values").alias("_hot")))
+    hot_right = F.broadcast(
+        packed.withColumn("_hash", key_hash(on)).join(hot, "_hash").select(*on, F.col("_values").alias("_hot"))
+    )
     row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
     tagged = left.join(hot_right, on, "left").withColumn(
         "_spread", F.when(F.col("_hot").isNotNull() | ~known(on), F.pmod(row, F.lit(_SPREAD)) + 1).otherwise(F.lit(0))
