@@ -140,11 +140,13 @@ def order_history_rows(
 def order_rows(fact_order_line: DataFrame, fact_order: DataFrame) -> DataFrame:
     """One row per order, customer, address, day and hour for orders not in ``fact_order`` yet.
 
-    Lines are aggregated (combined map-side) before the anti join, which then moves orders instead of lines.
+    Lines are aggregated (combined map-side) before the anti join, which then moves orders instead of lines. After that
+    no order has copies left, so a plain anti join is balanced.
     """
     keys = ["orderid_bk", "customer_sk", "address_sk", "date_sk", "time_sk"]
     if PARTITION_COLUMN in fact_order_line.columns:
         keys.append(PARTITION_COLUMN)
     largest = ["paid", "paid_tax_incl", "taxrate", "conversion_rate", "paymenttype", "carrier"]
     orders = fact_order_line.groupBy(*keys).agg(*[F.max(c).alias(c) for c in largest])
-    return incremental_append(orders, fact_order, ["orderid_bk"]).select(*keys, *largest)
+    loaded = fact_order.select("orderid_bk").distinct()
+    return orders.join(loaded, "orderid_bk", "left_anti").select(*keys, *largest)

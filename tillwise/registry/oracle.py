@@ -215,6 +215,10 @@ def _reports() -> dict[str, str]:
             SELECT customer_id, total_spent, order_count,
                    (SELECT CAST(ceil(COUNT(*) / 20.0) AS BIGINT) FROM ranked) AS last_page
             FROM ranked ORDER BY total_spent DESC NULLS FIRST, customer_id LIMIT 20 OFFSET 40""",
+        "report_rows": f"""
+            SELECT 'report 1' AS report_id,
+                   CAST(json_object('gender', gender, 'customers_count', customers_count) AS VARCHAR) AS row
+            FROM ({_gender(_YEAR, "COALESCE(c.gender, 'Neuvedené')")}) g""",
     }
 
 
@@ -465,6 +469,7 @@ def _extracts() -> dict[str, str]:
             columns.append(f'{_CLEANSED[kind].format(column)} AS "{name}"')
         distinct = "DISTINCT " if target in _JOINED and target != "sg_product" else ""
         out[f"extract_{target}"] = f"SELECT {distinct}{', '.join(columns)} FROM {source}"
+    out["stage_round_trip"] = out["extract_sg_order_history"]
     return out
 
 

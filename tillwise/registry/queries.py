@@ -18,13 +18,15 @@ from tillwise.operators.listing import filtered, page_count, page_rows
 from tillwise.operators.median import exact_median
 from tillwise.operators.reconcile import high_water_mark, reconcile
 from tillwise.plans import dimensions, fact_loads, menus, reports
-from tillwise.plans.audit import run_state
+from tillwise.plans.audit import json_rows, run_state
+from tillwise.plans.jobs import run_stage, stage_tables
 from tillwise.plans.periods import period
 from tillwise.plans.warehouse import Warehouse
 from tillwise.registry.inputs import CALENDAR_END, CALENDAR_START, spark_input
 from tillwise.session import configure, shared_dir
 from tillwise.sources.csv_export import csv_page, export_csv
 from tillwise.sources.extract import SPECS
+from tillwise.sources.store import Store
 
 AS_OF = dt.date(2024, 2, 1)
 
@@ -146,6 +148,12 @@ def _csv_page(inputs: Inputs) -> DataFrame:
     return cents(page.withColumn("last_page", F.lit(last).cast("long")), "total_spent")
 
 
+def _stage_round_trip(inputs: Inputs) -> DataFrame:
+    store = Store(inputs.spark, os.path.join(shared_dir(inputs.spark), f"store-{uuid.uuid4()}"))
+    run_stage(store, inputs, targets=["sg_order_history"])
+    return stage_tables(store)("sg_order_history")
+
+
 _RUN_FILTERS = [("job_name", "like", "c"), ("tables_processed", ">", 2), ("id", "<=", 5000)]
 
 
@@ -192,6 +200,10 @@ def queries() -> dict[str, Query]:
         "median_order_value": _report(lambda dw: exact_median(dw.fact_order, "paid_tax_incl", "median_order_total")),
         "customers_above_median": _report(lambda dw: reports.customers_above_median(dw, YEAR), "total_spent"),
         "csv_page": _over(_csv_page),
+        "report_rows": _over(
+            lambda i: json_rows(reports.gender_distribution(i.warehouse, YEAR), "report 1").drop("position")
+        ),
+        "stage_round_trip": _over(_stage_round_trip),
         # Dimension, bridge and fact loads
         "calendar_days": _over(_calendar_days),
         "calendar_hours": _over(_calendar_hours),
