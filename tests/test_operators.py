@@ -175,6 +175,7 @@ def test_listing(spark):
     assert rows(page_rows(df, "name", "asc", 3, 5))[-1][0] == 4
     assert rows(page_count(df, 4)) == [(11, 3)]
     assert filtered(df, [("name", "like", "b1"), ("id", "<=", 5)]).count() == 3
+    assert filtered(df, [("name", "like", "o_1")]).count() == 6
     assert filtered(df, [("id", ">", 9)], user_id=1).count() == 1
     assert [last_page(n, 10) for n in (0, 1, 10, 11)] == [0, 1, 1, 2]
     for bad in ([("nope", "=", 1)], [("id", "!=", 1)]):

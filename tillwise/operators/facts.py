@@ -17,15 +17,17 @@ def incremental_append(
     """Stage rows whose key is not in the fact yet. Repeats inside the batch are kept.
 
     Known keys are made distinct first, so copies in the fact are combined map-side. Stage rows of hot keys (see
-    ``hot_keys``) never enter the shuffle: they are held against a broadcast of those few keys.
-    ``hot_from`` may name a narrower source of the same key distribution. Without hot keys AQE drops that route.
+    ``hot_keys``) never enter the shuffle: they are held against a broadcast of those few keys. The hot keys, at most
+    MAX_HOT_KEYS numbers, are read before the plan is built, so that both routes surely agree on them.
+    ``hot_from`` may name a narrower source of the same key distribution.
     """
-    known_keys = fact.select(*keys)
-    hot = F.broadcast(hot_keys(hot_from if hot_from is not None else stage.select(*keys), keys))
-    known_hot = known_keys.withColumn("_hash", key_hash(keys)).join(hot, "_hash", "left_semi").select(*keys).distinct()
-    hashed = stage.withColumn("_hash", key_hash(keys))
-    rest = hashed.join(hot, "_hash", "left_anti").join(known_keys.distinct(), keys, "left_anti")
-    aside = hashed.join(hot, "_hash", "left_semi").join(F.broadcast(known_hot), keys, "left_anti")
+    hot = [row["_hash"] for row in hot_keys(hot_from if hot_from is not None else stage, keys).collect()]
+    known = fact.select(*keys)
+    if not hot:
+        return stage.join(known.distinct(), keys, "left_anti").select(*stage.columns)
+    is_hot = key_hash(keys).isin(hot)
+    rest = stage.filter(~is_hot).join(known.filter(~is_hot).distinct(), keys, "left_anti")
+    aside = stage.filter(is_hot).join(F.broadcast(known.filter(is_hot).distinct()), keys, "left_anti")
     return rest.select(*stage.columns).unionByName(aside.select(*stage.columns))
 
 

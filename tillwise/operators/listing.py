@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # The comparison operators a listing offers.
 COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
-    "like": lambda column, value: column.cast("string").contains(str(value)),
+    "like": lambda column, value: column.cast("string").like(f"%{value}%"),
     ">": lambda column, value: column > value,
     "<": lambda column, value: column < value,
     "=": lambda column, value: column == value,
