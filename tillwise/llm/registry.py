@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact_dedup
+from tillwise.llm import exact_dedup, packing
 from tillwise.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +35,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
