@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact_dedup, jaccard_join, packing
+from tillwise.llm import exact_dedup, jaccard_join, line_crf, packing
 from tillwise.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -71,7 +76,7 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing, op6_line_labels, op8_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

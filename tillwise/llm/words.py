@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled together up to so many bytes; a longer text makes a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -27,44 +27,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.empty(0, np.uint64)
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_powers = [np.empty(0, np.uint64)] * 2
 
 
-def _weights(n: int) -> np.ndarray:
-    """Powers of ``_BASE`` modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 1 << 16), _BASE & (2**64 - 1), np.uint64)
-        steps[0] = 1
-        _powers = np.cumprod(steps, dtype=np.uint64)
-    return _powers[:n]
+def _weights(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of ``_BASE`` and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return [p[:n] for p in _powers]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each of the byte spans: a polynomial over the bytes, highest power first, and the length."""
-    lengths = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    values = mix(data.astype(np.uint64) + np.uint64(1))
-    longest = int(lengths.max())
-    if longest <= 64:  # byte by byte over all words that are still going on
-        order = np.argsort(-lengths, kind="stable")
-        at, left = starts[order], lengths[order]
-        acc = np.zeros(len(at), np.uint64)
-        base = np.uint64(_BASE & (2**64 - 1))
-        live = np.searchsorted(-left, -np.arange(1, longest + 1), side="right")
-        for k in range(longest):
-            n = live[k]
-            acc[:n] = acc[:n] * base + values[at[:n] + k]
-        out[order] = acc
-    else:
-        short = lengths <= 64
-        out[short] = span_hashes(data, starts[short], ends[short])
-        for i in np.flatnonzero(~short):
-            w = _weights(int(lengths[i]))[::-1]
-            out[i] = (values[starts[i] : ends[i]] * w).sum(dtype=np.uint64)
-    return out
+    """A 64-bit hash of each of the byte spans.
+
+    A polynomial of the bytes' values over all data is summed up once; a span's part of it, moved to the start, depends
+    on its bytes only.
+    """
+    up, down = _weights(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
 class Batch:
@@ -89,7 +75,13 @@ class Batch:
         return len(self.bounds) - 1
 
     def hashes(self) -> np.ndarray:
-        return mix(span_hashes(self.data, self.starts, self.ends) ^ (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every line (cut at line feeds only), and the first line of each text (and past the last)."""
+        ends = np.flatnonzero(self.data == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        return starts, ends, np.searchsorted(starts, self.bounds)
 
     def windows(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Hash of the ``width`` words from each word on; those that run over a text's end mean nothing."""
@@ -97,7 +89,7 @@ class Batch:
         if len(hashes):
             padded = np.concatenate([hashes, np.zeros(width, np.uint64)])
             for k in range(width):
-                out = mix(out * np.uint64(_BASE & (2**64 - 1)) + padded[k : k + len(hashes)])
+                out = mix(out * np.uint64(_BASE) + padded[k : k + len(hashes)])
         return out
 
 
