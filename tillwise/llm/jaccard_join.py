@@ -4,17 +4,17 @@ Equal sets are one class from the start; the join works on class representatives
 If two sets of ``n`` and ``m`` shingles reach the similarity, the first ``n - ceil(t n) + k`` shingles of one and the
 first ``m - ceil(t m) + k`` of the other have ``k`` in common. These extended prefixes are indexed: shingles of few sets
 (at most ``RARE``) one by one, frequent ones in combinations of ``K = 2``; two sets either share a rare shingle there or
-``K`` frequent ones. Sets of over ``COMBINED`` shingles would have too many combinations, and index frequent shingles
-one by one by size class; sets near that size do both, so that every pair meets.
+``K`` frequent ones. A set with over ``COMBINED`` frequent shingles in its prefix would have too many combinations; it
+meets every other set at single frequent shingles, by size class.
 
-Pairs are then cut by size and by a parity bitmap (its distance is never above the sets' difference) and verified on the
-full sets. Components need no pair inside one component: the first round links each indexed set with the smallest of its
+Pairs are then cut by size, by a parity bitmap (its distance is never above the sets' difference) and by what the prefixes
+differ in up to where both reach, and are verified on the full sets. Components need no pair inside one component: the first round links each indexed set with the smallest of its
 bucket only, the second takes all pairs of a bucket that are still in different components. So a group of many near
 copies costs pairs in proportion to its size, and no link between different components is lost.
 
 Defined cases: NULL or empty texts have no shingle and link with nothing; texts of fewer words than a shingle count as
 one shingle; repeated rows and ids are rows of their own; NULL ids come last in the order. An empty table gives an empty
-result. Shingles are compared by 64-bit hashes. Columns besides id and text are carried by ``deduplicate`` untouched.
+result. Shingles are compared by 63-bit hashes. Columns besides id and text are carried by ``deduplicate`` untouched.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ from tillwise.llm.words import Batch, batches, mix
 K = 2
 #: A shingle in at most so many sets is indexed alone; all pairs of its sets are looked at.
 RARE = 64
-#: Sets of at most so many shingles index combinations of their frequent shingles.
-COMBINED = 512
+#: Sets with at most so many frequent shingles in their prefix meet one another at combinations of these only.
+COMBINED = 8
 BITS = ["b0", "b1", "b2", "b3"]
 
 
@@ -63,19 +63,19 @@ class Alike:
 
 
 def shingle_sets(batch: Batch, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text; 63 bits, so that signed order is their order."""
     words = batch.hashes()
     shingles = batch.windows(words, width)
     first = batch.first
     for d in range(len(batch)):
         lo, hi = first[d], first[d + 1]
         if hi - lo >= width:
-            yield np.unique(shingles[lo : hi - width + 1])
+            yield np.unique(shingles[lo : hi - width + 1] >> np.uint64(1))
         elif hi > lo:
             whole = np.uint64(hi - lo)
             for h in words[lo:hi]:
                 whole = mix(np.array([whole ^ h], np.uint64))[0]
-            yield np.array([whole], np.uint64)
+            yield np.array([whole >> np.uint64(1)], np.uint64)
         else:
             yield np.empty(0, np.uint64)
 
@@ -144,6 +144,18 @@ def _close(alike: Alike, a: str, b: str):
     )
 
 
+def _candidates(reps: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
+    """The distinct pairs whose prefixes don't differ too much already."""
+    a = reps.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("in_a"))
+    b = reps.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("in_b"))
+    joined = pairs.distinct().join(a, "a").join(b, "b")
+    cut = F.least(F.element_at("in_a", -1), F.element_at("in_b", -1))
+    below = [F.size(F.filter(c, lambda x: x <= F.col("cut"))) for c in ("in_a", "in_b")]
+    apart = below[0] + below[1] - 2 * F.size(F.array_intersect("in_a", "in_b"))
+    possible = (alike.num + alike.den) * apart <= (alike.den - alike.num) * (F.col("n_a") + F.col("n_b"))
+    return stored(joined.withColumn("cut", cut).filter(possible).select("a", "b"), "pairs")
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
     """The pairs (``a``, ``b``) of representatives whose full sets are alike."""
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
@@ -166,30 +178,41 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
 
     first = shared.groupBy("key").agg(F.min(F.struct("v", "n", *BITS)).alias("first")).select("key", "first.*").alias("f")
     star = shared.alias("s").join(first, (F.col("s.key") == F.col("f.key")) & (F.col("s.v") != F.col("f.v")) & _close(alike, "s", "f"))
-    pairs = stored(star.select(F.col("s.v").alias("a"), F.col("f.v").alias("b")).distinct(), "pairs")
+    pairs = _candidates(reps, star.select(F.col("s.v").alias("a"), F.col("f.v").alias("b")), alike)
     links = stored(_verified(docs, reps, pairs, alike), "links")
 
     labelled = shared.join(components(links), "v", "left").withColumn("c", F.coalesce("label", "v")).drop("label")
     split = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     open_rows = stored(labelled.join(split.select("key"), "key", "left_semi"), "open")
-    rare = open_rows.filter(F.col("df") <= RARE).select(F.array("key").alias("keys"), F.lit(0).cast("long").alias("size"), "v", "c", "n", *BITS)
-    frequent = open_rows.filter(F.col("df") > RARE).withColumn("size", F.explode(F.array(alike.size_class(), alike.size_class() + 1)))
-    single = frequent.filter(alike.den * F.col("n") >= alike.num * COMBINED).select(F.array("key").alias("keys"), "size", "v", "c", "n", *BITS)
-    lists = (
-        frequent.filter(F.col("n") <= COMBINED)
-        .groupBy("v", "size", "c", "n", *BITS)
-        .agg(F.array_sort(F.collect_list("key")).alias("all"))
-        .filter(F.size("all") >= K)
+    # A pair that also meets at the key before this one has been met there: runs of common keys give one pair, not many.
+    before = F.lag("key").over(Window.partitionBy("v", "size").orderBy("key"))
+    rare = open_rows.filter(F.col("df") <= RARE).withColumn("size", F.lit(0)).withColumn("before", before)
+    frequent = (
+        open_rows.filter(F.col("df") > RARE)
+        .withColumn("size", F.explode(F.array(alike.size_class(), alike.size_class() + 1)))
+        .withColumn("many", F.count("*").over(Window.partitionBy("v", "size")) > COMBINED)
+        .withColumn("before", before)
     )
-    combined = lists.select("*", F.posexplode("all").alias("at", "one")).select(
-        F.explode(F.transform(F.slice("all", F.col("at") + 2, F.size("all")), lambda two: F.array("one", two))).alias("keys"),
-        "size", "v", "c", "n", *BITS,
+    lists = frequent.filter(~F.col("many")).groupBy("v", "size", "c", "n", *BITS).agg(F.array_sort(F.collect_list("key")).alias("all"))
+    combined = (
+        lists.select("*", F.posexplode("all").alias("at", "one"))
+        .withColumn("two", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))))
+        .withColumn("key", F.xxhash64("one", "two"))
+        .withColumn("before", F.lit(None).cast("long"))
     )
-    buckets = stored(rare.unionByName(single).unionByName(combined), "buckets")
-    x, y = buckets.alias("x"), buckets.alias("y")
-    meet = (F.col("x.keys") == F.col("y.keys")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.v") < F.col("y.v"))
-    met = x.join(y, meet & (F.col("x.c") != F.col("y.c")) & _close(alike, "x", "y"))
-    more = stored(met.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), "pairs")
+
+    def meeting(left: DataFrame, right: DataFrame, distinct_sides: bool) -> DataFrame:
+        x, y = left.alias("x"), right.alias("y")
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.c") != F.col("y.c"))
+        new = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+        once = F.lit(True) if distinct_sides else F.col("x.v") < F.col("y.v")
+        found = x.join(y, met & once & new & _close(alike, "x", "y"))
+        return found.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+
+    many, few = frequent.filter("many"), frequent.filter(~F.col("many"))
+    met = meeting(rare, rare, False).unionByName(meeting(combined, combined, False))
+    met = met.unionByName(meeting(many, many, False)).unionByName(meeting(many, few, True))
+    more = _candidates(reps, met, alike)
     if more.isEmpty():
         return links
     return links.unionByName(stored(_verified(docs, reps, more, alike), "links"))

@@ -1,6 +1,8 @@
 """Quality rules: a linear-chain conditional random field marks the lines of a text as content or boilerplate.
 
-The field is trained here on a bounded sample of labelled documents: their lines take the document's label (weak labels).
+The field is trained here on a bounded sample of labelled documents. Their lines take the document's label at first; a
+fit without moves between lines then decides which lines of bad documents are content after all, and the field is
+trained on these marks.
 Viterbi decoding marks all lines of all texts; a text is kept if content lines hold at least ``CONTENT_SHARE`` of its
 word characters and the base rules hold.
 
@@ -174,8 +176,9 @@ class Field:
         return states
 
 
-def train(features: np.ndarray, first: np.ndarray, content: np.ndarray) -> Field:
-    """Maximum likelihood by gradient steps; forward-backward over all chains at once. ``content``: each line's label."""
+def train(features: np.ndarray, first: np.ndarray, content: np.ndarray, chained: bool = True) -> Field:
+    """Maximum likelihood by gradient steps; forward-backward over all chains at once. ``content``: each line's label;
+    without ``chained`` moves stay at zero."""
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     at = first[:-1][order]
@@ -211,6 +214,7 @@ def train(features: np.ndarray, first: np.ndarray, content: np.ndarray) -> Field
         chance = both[:, 1] / both.sum(1)
         gradient = np.concatenate([seen - features.T @ chance, (seen_moves - expected_moves).ravel()]) / max(len(label), 1)
         gradient -= RIDGE * params
+        gradient[-4:] *= chained
         first_moment = 0.9 * first_moment + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         params += RATE * (first_moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -236,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not chains or not {0, 1} <= set(found["quality"]):
         return None
     first = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
-    return train(np.concatenate(chains), first, np.repeat(found["quality"].to_numpy() == 1, np.diff(first)))
+    features, good = np.concatenate(chains), np.repeat(found["quality"].to_numpy() == 1, np.diff(first))
+    alone = train(features, first, good, chained=False)
+    return train(features, first, good | (features @ alone.weights > 0))
 
 
 def _judge(field: Field | None, batch: Batch) -> dict[str, np.ndarray]:

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.session import shared_dir
+from tillwise.session import configure, shared_dir
+
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, whose Python workers find this package where the driver found it."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH")]))
+    return configure(spark)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
