@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.llm.graph import components
-from tillwise.llm.storage import stored
+from tillwise.llm.storage import plain_names, stored
 from tillwise.llm.words import Batch, batches, mix
 
 K = 2
@@ -280,7 +280,7 @@ def deduplicate(docs: DataFrame, alike: Alike = Alike(), id_col: str = "doc_id",
         F.col("doc_id").alias("__id"), F.col("s1").alias("__k1"), F.col("s2").alias("__k2")
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("__s1", T.LongType()), T.StructField("__s2", T.LongType())])
-    signed = docs.mapInArrow(_signed(alike, docs.columns.index(text_col), docs.schema), schema)
+    signed = plain_names(docs).mapInArrow(_signed(alike, docs.columns.index(text_col), docs.schema), schema)
     same = (F.col("__s1") == F.col("__k1")) & (F.col("__s2") == F.col("__k2")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
     chosen = signed.join(keep, same, "left_semi").dropDuplicates(["__s1", "__s2"])
     return chosen.unionByName(signed.filter(F.col("__s1").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

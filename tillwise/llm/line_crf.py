@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.llm.storage import plain_names
 from tillwise.llm.words import Batch, batches, span_hashes
 
 #: The field is trained on so many labelled documents at most, those with the smallest id hashes.
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The field trained on at most TRAINING_DOCS documents of ``labels`` (``doc_id``, ``quality``)."""
     usable = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality")).dropna()
     chosen = usable.orderBy(F.xxhash64("__id"), "__id", "__quality").limit(TRAINING_DOCS).dropDuplicates(["__id"])
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__quality", F.col(text_col))
+    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__quality", F.col(text_col).alias("text"))
     found = sample.mapInArrow(_sample_features, "quality int, features binary").toPandas()
     found = found.sort_values(["quality", "features"], ignore_index=True)
     chains = [np.frombuffer(f, "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for f in found["features"]]
@@ -276,7 +277,8 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 found = _judge(field, batch)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(found[c]) for c in JUDGED.names]], schema.names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
@@ -288,4 +290,4 @@ def keep(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
             kept = [_judge(field, batch)["kept"] for _, batch in batches([], record.column(text_at))]
             yield record.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain_names(docs).mapInArrow(run, docs.schema)

@@ -112,7 +112,7 @@ def _merge_group(frame: pd.DataFrame) -> pd.DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stored(source.mapInArrow(_packed(tokenizer), PIECES), "pieces")
     level = pieces.filter((F.col("offset") == 0) & (F.col("bin_used") < CAPACITY - SLACK)).select(
         "bin", F.col("bin_used").alias("used")
@@ -160,7 +160,7 @@ def sequence_ids(docs: DataFrame, pieces: DataFrame, tokenizer: str) -> DataFram
             found = [np.frombuffer(ids.text_ids(t or b""), "<u4").tolist() + [END_ID] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    source = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokens, "doc_id long, ids array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "doc_id long, ids array<long>")
     part = F.expr("slice(ids, CAST(start AS INT) + 1, CAST(length AS INT))")
     return (
         pieces.join(source, "doc_id")

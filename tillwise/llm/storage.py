@@ -37,3 +37,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns numbered, for functions that pass whole rows through: any name is possible in ``df``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
