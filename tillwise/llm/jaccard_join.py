@@ -23,6 +23,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ K = 2
 RARE = 64
 #: Sets with at most so many frequent shingles in their prefix meet one another at combinations of these only.
 COMBINED = 8
-BITS = ["b0", "b1", "b2", "b3"]
+#: Parity bitmap of a set: 1024 bits for sets of over ``LONG`` shingles, else folded to 256, with the other words zero.
+LONG = 512
+BITS = [f"b{i}" for i in range(16)]
 
 
 @dataclass(frozen=True)
@@ -88,8 +91,10 @@ def _signature(found: np.ndarray) -> tuple[int | None, int | None]:
 
 
 def _bitmap(found: np.ndarray) -> list[int]:
-    odd = np.bincount((found >> np.uint64(5)).astype(np.int64) & 255, minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    bits = 1024 if len(found) > LONG else 256
+    odd = np.bincount((found >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return words.tolist() + [0] * (16 - len(words))
 
 
 _LONGS = pa.list_(pa.int64())
@@ -137,10 +142,15 @@ def _full_sets(alike: Alike):
 def _close(alike: Alike, a: str, b: str):
     """Sizes and bitmaps of columns under the two aliases leave the similarity possible."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
+    differ = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in BITS]
+    folded = [reduce(lambda p, q: p.bitwiseXOR(q), differ[i::4]) for i in range(4)]
+    least_apart = reduce(lambda p, q: p + q, map(F.bit_count, folded))
+    long_apart = reduce(lambda p, q: p + q, map(F.bit_count, differ))
+    most = (alike.den - alike.num) * (x + y)
     return (
         (alike.den * F.least(x, y) >= alike.num * F.greatest(x, y))
-        & ((alike.num + alike.den) * apart <= (alike.den - alike.num) * (x + y))
+        & ((alike.num + alike.den) * least_apart <= most)
+        & ((F.least(x, y) <= LONG) | ((alike.num + alike.den) * long_apart <= most))
     )
 
 
