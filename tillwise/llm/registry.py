@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, exact_dedup, jaccard_join, line_crf, packing, url_filter
+from tillwise.llm import chat, exact_dedup, html_text, jaccard_join, line_crf, packing, url_filter, warc
 from tillwise.llm.storage import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -76,6 +80,28 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), r AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, min(page_id) OVER (PARTITION BY hex) AS first,
+         array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(hex, (1 + 5 * i)::INT, 5))::INT >> (15 - 5 * j)::INT) & 31), 1)), '')), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM r
+"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = F.lit("<|im_end|><|im_start|>assistant ok")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -113,7 +139,7 @@ FROM c
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_best_fit_packing, op6_line_labels, op8_ngram_jaccard_join, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op6_line_labels, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
