@@ -154,11 +154,17 @@ def _close(alike: Alike, a: str, b: str):
     )
 
 
-def _candidates(reps: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
-    """The distinct pairs whose prefixes don't differ too much already."""
+def _candidates(reps: DataFrame, pairs: DataFrame, alike: Alike, near: bool) -> DataFrame:
+    """The distinct pairs that may be alike by their bitmaps (unless they are known to be ``near`` that way) and whose
+    prefixes don't differ too much already."""
+    pairs = pairs.distinct()
+    if not near:
+        x, y = reps.select("v", "n", *BITS).alias("x"), reps.select("v", "n", *BITS).alias("y")
+        joined = pairs.join(x, F.col("a") == F.col("x.v")).join(y, F.col("b") == F.col("y.v"))
+        pairs = joined.filter(_close(alike, "x", "y")).select("a", "b")
     a = reps.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("in_a"))
     b = reps.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("in_b"))
-    joined = pairs.distinct().join(a, "a").join(b, "b")
+    joined = pairs.join(a, "a").join(b, "b")
     cut = F.least(F.element_at("in_a", -1), F.element_at("in_b", -1))
     below = [F.size(F.filter(c, lambda x: x <= F.col("cut"))) for c in ("in_a", "in_b")]
     apart = below[0] + below[1] - 2 * F.size(F.array_intersect("in_a", "in_b"))
@@ -181,29 +187,34 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike)
 
 
 def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
-    index = reps.select("v", F.explode("prefix").alias("key"))
+    index = reps.select("v", "n", F.explode("prefix").alias("key"))
     often = index.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    info = reps.select("v", "n", *BITS)
-    shared = stored(index.join(often, "key").join(info, "v"), "shared")
+    shared = stored(index.join(often, "key"), "shared")
 
-    first = shared.groupBy("key").agg(F.min(F.struct("v", "n", *BITS)).alias("first")).select("key", "first.*").alias("f")
-    star = shared.alias("s").join(first, (F.col("s.key") == F.col("f.key")) & (F.col("s.v") != F.col("f.v")) & _close(alike, "s", "f"))
-    pairs = _candidates(reps, star.select(F.col("s.v").alias("a"), F.col("f.v").alias("b")), alike)
-    links = stored(_verified(docs, reps, pairs, alike), "links")
+    first = shared.groupBy("key").agg(F.min(F.struct("v", "n")).alias("f")).select("key", F.col("f.v").alias("b"), F.col("f.n").alias("m"))
+    sizes = alike.den * F.least("n", "m") >= alike.num * F.greatest("n", "m")
+    star = shared.join(first, "key").filter((F.col("v") != F.col("b")) & sizes).select(F.col("v").alias("a"), "b")
+    links = stored(_verified(docs, reps, _candidates(reps, star, alike, near=False), alike), "links")
 
     labelled = shared.join(components(links), "v", "left").withColumn("c", F.coalesce("label", "v")).drop("label")
     split = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     open_rows = stored(labelled.join(split.select("key"), "key", "left_semi"), "open")
     # A pair that also meets at the key before this one has been met there: runs of common keys give one pair, not many.
+    # Bitmaps are added where the rows lie by set, for one more shuffle, by key.
     before = F.lag("key").over(Window.partitionBy("v", "size").orderBy("key"))
-    rare = open_rows.filter(F.col("df") <= RARE).withColumn("size", F.lit(0)).withColumn("before", before)
+    info = reps.select("v", *BITS)
+    slim = ["key", "size", "v", "c", "n", "before"]
+    rare = open_rows.filter(F.col("df") <= RARE).withColumn("size", F.lit(0)).withColumn("before", before).select(*slim).join(info, "v")
     frequent = (
         open_rows.filter(F.col("df") > RARE)
         .withColumn("size", F.explode(F.array(alike.size_class(), alike.size_class() + 1)))
         .withColumn("many", F.count("*").over(Window.partitionBy("v", "size")) > COMBINED)
         .withColumn("before", before)
+        .select(*slim, "many")
+        .join(info, "v")
     )
-    lists = frequent.filter(~F.col("many")).groupBy("v", "size", "c", "n", *BITS).agg(F.array_sort(F.collect_list("key")).alias("all"))
+    few = frequent.filter(~F.col("many"))
+    lists = few.groupBy("v", "size", "c", "n", *BITS).agg(F.array_sort(F.collect_list("key")).alias("all"))
     combined = (
         lists.select("*", F.posexplode("all").alias("at", "one"))
         .withColumn("two", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))))
@@ -219,10 +230,10 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
         found = x.join(y, met & once & new & _close(alike, "x", "y"))
         return found.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
 
-    many, few = frequent.filter("many"), frequent.filter(~F.col("many"))
+    many = frequent.filter("many")
     met = meeting(rare, rare, False).unionByName(meeting(combined, combined, False))
     met = met.unionByName(meeting(many, many, False)).unionByName(meeting(many, few, True))
-    more = _candidates(reps, met, alike)
+    more = _candidates(reps, met, alike, near=True)
     if more.isEmpty():
         return links
     return links.unionByName(stored(_verified(docs, reps, more, alike), "links"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, exact_dedup, html_text, jaccard_join, line_crf, packing, url_filter, warc
+from tillwise.llm import chat, exact_dedup, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
 from tillwise.llm.storage import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -139,7 +143,7 @@ FROM c
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op6_line_labels, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op5_repeated_passages, op6_line_labels, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
