@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, exact_dedup, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
+from tillwise.llm import byte_bpe, chat, exact_dedup, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
 from tillwise.llm.storage import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -143,7 +152,7 @@ FROM c
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op5_repeated_passages, op6_line_labels, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op5_repeated_passages, op6_line_labels, op7_byte_bpe, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
