@@ -130,7 +130,7 @@ def _json_fingerprint(record: Column) -> Column:
     tops = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def below(top: Column) -> Column:
-        inner = F.get_json_object(record, F.concat(F.lit("$."), top, F.lit("[0]")))
+        inner = F.call_function("get_json_object", record, F.concat(F.lit("$."), top, F.lit("[0]")))
         keys = F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>"))
         inside = F.transform(keys, lambda k: F.concat(top, F.lit("[]."), k))
         return F.when(inner.isNull(), F.array(top)).otherwise(F.concat(F.array(top, F.concat(top, F.lit("[]"))), inside))

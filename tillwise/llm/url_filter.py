@@ -1,6 +1,6 @@
 """URL verdicts: host words by unigram Viterbi segmentation, then multinomial naive Bayes, below a list of rules.
 
-Word frequencies come from the titles, hosts and paths of all pages. Naive Bayes learns from all pages whose segmented
+Word frequencies come from the titles and paths of all pages. Naive Bayes learns from all pages whose segmented
 host holds a word of ``BLOCK_WORDS`` (blocked) or none (allowed); its token counts are kept in ``BUCKETS`` hash buckets,
 so the model has one size whatever the corpus. The longest fitting rule overrides it.
 
@@ -58,9 +58,10 @@ def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
 
 
 def word_counts(pages: DataFrame) -> dict[str, int]:
-    """The VOCABULARY most frequent words of titles and URLs; counts cover all pages, the seed words are always known."""
+    """The VOCABULARY most frequent words of titles and paths (in hosts, words are run together); counts cover all pages,
+    and the seed words are always known."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    text = F.lower(F.concat_ws(" ", title, host_of(F.col("url")), path_of(F.col("url"))))
+    text = F.lower(F.concat_ws(" ", title, path_of(F.col("url"))))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter(f"length(word) BETWEEN 2 AND {LONGEST_WORD}")
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
     counts = {r["word"]: r["count"] for r in top}
