@@ -284,7 +284,8 @@ def test_jaccard_join(docs, texts, nothing, alike):
     assert jaccard_join.similar_documents(nothing, alike).count() == jaccard_join.deduplicate(nothing, alike).count() == 0
 
 
-def test_jaccard_join_of_many_near_and_half_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("large", [2048, 80])
+def test_jaccard_join_of_many_near_and_half_near_copies(spark, monkeypatch, large):
     """Groups whose copies share frequent shingles in every way: linked, just not linked, and sharing lines only."""
     monkeypatch.setattr(jaccard_join, "RARE", 3)
     rng, lines = random.Random(4), [prose(1000 + i, 14) for i in range(8)]
@@ -295,7 +296,8 @@ def test_jaccard_join_of_many_near_and_half_near_copies(spark, monkeypatch):
     texts += ["\n".join([*rng.sample(lines, 5), prose(2000 + i, rng.choice([3, 20, 60]))]) for i in range(40)]
     rows = [(i, t) for i, t in enumerate(texts)]
     want, _ = brute_components(rows, 3, 90, 100)
-    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alike = jaccard_join.Alike(large=large)
+    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), alike).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
 
 

@@ -1,16 +1,21 @@
 """Documents whose shingle sets are alike, by token-combination prefixes.
 
 Equal sets are one class from the start; the join works on class representatives. A set's shingles are ordered by hash.
-If two sets of ``n`` and ``m`` shingles reach the similarity, the first ``n - ceil(t n) + k`` shingles of one and the
-first ``m - ceil(t m) + k`` of the other have ``k`` in common. These extended prefixes are indexed: shingles of few sets
-(at most ``RARE``) one by one, frequent ones in combinations of ``K = 2``; two sets either share a rare shingle there or
-``K`` frequent ones. A set with over ``COMBINED`` frequent shingles in its prefix would have too many combinations; it
-meets every other set at single frequent shingles, by size class.
+If two sets of ``n`` and ``m`` shingles reach the similarity ``t``, the first ``n - ceil(t n) + k`` shingles of one and the
+first ``m - ceil(t m) + k`` of the other have ``k`` in common. These extended prefixes are indexed:
+
+* sets of at most ``Alike.large`` shingles by ``k = 2``. Shingles of few sets (at most ``RARE``) are indexed one by one, frequent
+  ones in combinations of two: two sets either share a rare shingle there or two frequent ones. A set with over
+  ``COMBINED`` frequent shingles in its prefix would have too many combinations; it meets every other set at single
+  frequent shingles, by size class.
+* larger sets by ``k = d + 2``, where ``d`` is the most that they may differ in: of ``d + 2`` common shingles two have no
+  differing one between them, so both sets have the combination of these neighbours. Sets near ``Alike.large`` do both.
 
 Pairs are then cut by size, by a parity bitmap (its distance is never above the sets' difference) and by what the prefixes
-differ in up to where both reach, and are verified on the full sets. Components need no pair inside one component: the first round links each indexed set with the smallest of its
-bucket only, the second takes all pairs of a bucket that are still in different components. So a group of many near
-copies costs pairs in proportion to its size, and no link between different components is lost.
+differ in up to where both reach, and are verified on the full sets. Components need no pair inside one component: the
+first round links each indexed set with the smallest of its bucket only, the second takes all pairs of a bucket that are
+still in different components. So a group of many near copies costs pairs in proportion to its size, and no link between
+different components is lost.
 
 Defined cases: NULL or empty texts have no shingle and link with nothing; texts of fewer words than a shingle count as
 one shingle; repeated rows and ids are rows of their own; NULL ids come last in the order. An empty table gives an empty
@@ -47,11 +52,13 @@ BITS = [f"b{i}" for i in range(16)]
 
 @dataclass(frozen=True)
 class Alike:
-    """Shingles of ``width`` words; sets are alike from ``num / den`` on."""
+    """Shingles of ``width`` words; sets are alike from ``num / den`` on. Sets of over ``large`` shingles are indexed by
+    neighbours in a longer prefix."""
 
     width: int = 3
     num: int = 90
     den: int = 100
+    large: int = 2048
 
     def __post_init__(self) -> None:
         if not 3 * self.den <= 4 * self.num <= 4 * self.den:
@@ -60,6 +67,10 @@ class Alike:
     def least(self, n: int) -> int:
         return -(-self.num * n // self.den)
 
+    def apart(self, n: int) -> int:
+        """The most that a set of ``n`` and one like it may differ in."""
+        return (self.den - self.num) * (n + self.den * n // self.num) // (self.den + self.num)
+
     def size_class(self):
         """Sizes that can be alike lie in the same class or in neighbouring ones."""
         return F.floor(F.log(F.col("n").cast("double")) / math.log(1.02 * self.den / self.num)).cast("long")
@@ -97,6 +108,15 @@ def _bitmap(found: np.ndarray) -> list[int]:
     return words.tolist() + [0] * (16 - len(words))
 
 
+def _neighbours(found: np.ndarray, alike: Alike) -> np.ndarray:
+    """Combinations of neighbours in the prefix of a large set."""
+    size = len(found)
+    if alike.den * size < alike.num * alike.large:
+        return np.empty(0, np.int64)
+    prefix = found[: size - alike.least(size) + alike.apart(size) + 2]
+    return (mix(prefix[:-1] * np.uint64(3) + prefix[1:]) >> np.uint64(1)).view(np.int64)
+
+
 _LONGS = pa.list_(pa.int64())
 
 
@@ -104,7 +124,7 @@ def _describe(alike: Alike):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in source:
             for (ids, rows), batch in batches([record.column(0), record.column(1)], record.column(2), lower=True):
-                n, s1, s2, prefixes, bits = [], [], [], [], []
+                n, s1, s2, prefixes, neighbours, bits = [], [], [], [], [], []
                 for found in shingle_sets(batch, alike.width):
                     size = len(found)
                     n.append(size)
@@ -112,6 +132,7 @@ def _describe(alike: Alike):
                     s1.append(one)
                     s2.append(two)
                     prefixes.append(found[: size - alike.least(size) + K].view(np.int64) if alike.least(size) > K else [])
+                    neighbours.append(_neighbours(found, alike))
                     bits.append(_bitmap(found))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -119,9 +140,10 @@ def _describe(alike: Alike):
                         pa.array(rows, pa.int64()),
                         *[pa.array(c, pa.int64()) for c in (n, s1, s2)],
                         pa.array(prefixes, _LONGS),
+                        pa.array(neighbours, _LONGS),
                         *[pa.array(c, pa.int64()) for c in zip(*bits)],
                     ],
-                    ["doc_id", "row", "n", "s1", "s2", "prefix", *BITS],
+                    ["doc_id", "row", "n", "s1", "s2", "prefix", "neighbours", *BITS],
                 )
 
     return run
@@ -187,7 +209,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike)
 
 
 def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
-    index = reps.select("v", "n", F.explode("prefix").alias("key"))
+    small = reps.filter(F.col("n") <= alike.large).select("v", "n", F.explode("prefix").alias("key"), F.lit(1).alias("k"))
+    index = small.unionByName(reps.select("v", "n", F.explode("neighbours").alias("key"), F.lit(2).alias("k")))
     often = index.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     shared = stored(index.join(often, "key"), "shared")
 
@@ -204,9 +227,10 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
     before = F.lag("key").over(Window.partitionBy("v", "size").orderBy("key"))
     info = reps.select("v", *BITS)
     slim = ["key", "size", "v", "c", "n", "before"]
-    rare = open_rows.filter(F.col("df") <= RARE).withColumn("size", F.lit(0)).withColumn("before", before).select(*slim).join(info, "v")
+    alone = (F.col("df") <= RARE) | (F.col("k") == 2)
+    rare = open_rows.filter(alone).withColumn("size", F.col("k").cast("long")).withColumn("before", before).select(*slim).join(info, "v")
     frequent = (
-        open_rows.filter(F.col("df") > RARE)
+        open_rows.filter(~alone)
         .withColumn("size", F.explode(F.array(alike.size_class(), alike.size_class() + 1)))
         .withColumn("many", F.count("*").over(Window.partitionBy("v", "size")) > COMBINED)
         .withColumn("before", before)
@@ -242,14 +266,14 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
 def _classes(docs: DataFrame, alike: Alike) -> tuple[DataFrame, DataFrame]:
     """Every row with its set's class, and one row per class; ``v`` names the class."""
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    schema = "doc_id long, row long, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
+    schema = "doc_id long, row long, n long, s1 long, s2 long, prefix array<long>, neighbours array<long>, " + ", ".join(f"{b} long" for b in BITS)
     rows = stored(source.mapInArrow(_describe(alike), schema), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     reps = stored(
         rows.filter("n > 0")
         .groupBy("s1", "s2")
-        .agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITS)])
-        .select(F.col("first.row").alias("v"), F.col("first.doc_id").alias("doc_id"), "s1", "s2", "n", "prefix", *BITS),
+        .agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", "neighbours", *BITS)])
+        .select(F.col("first.row").alias("v"), F.col("first.doc_id").alias("doc_id"), "s1", "s2", "n", "prefix", "neighbours", *BITS),
         "reps",
     )
     return rows.select("doc_id", "row", "n", "s1", "s2"), reps
