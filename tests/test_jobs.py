@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -11,12 +12,12 @@ from conftest import rows
 from tillwise.plans import reports
 from tillwise.plans.audit import ReportCatalog, RunLog
 from tillwise.plans.catalog import build_report
-from tillwise.plans.jobs import check_warehouse, delete_rows, run_report, run_stage, run_warehouse, stage_tables
+from tillwise.plans.jobs import check_warehouse, compact, delete_rows, run_report, run_stage, run_warehouse, stage_tables
 from tillwise.plans.menus import ANY, NOT_SPECIFIED, product_values
 from tillwise.plans.periods import period
 from tillwise.plans.warehouse import read_warehouse
 from tillwise.schemas import OPEN_END, WAREHOUSE, schema
-from tillwise.sources.csv_export import csv_page
+from tillwise.sources.csv_export import csv_page, export_csv
 from tillwise.sources.store import Store
 
 DAY1, DAY2 = dt.date(2024, 5, 20), dt.date(2024, 5, 21)
@@ -292,6 +293,66 @@ def test_store_hides_uncommitted_runs_and_deletes(spark, tmp_path):
     assert rows(store.appended("t", layout, since_run=1)) == [(2, "b")]
 
 
+def test_parallel_and_stale_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    layout = schema("id:long")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.write("t", spark.createDataFrame([(i,)], layout)), range(4)))
+    monkeypatch.setattr(Store, "_next", lambda self, table: 1)  # a listing older than all commits
+    store.write("t", spark.createDataFrame([(4,)], layout))
+    assert rows(store.appended("t", layout), "id") == [(i,) for i in range(5)]
+
+
+def test_delete_from_facts_rewrites_their_runs_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    layout = WAREHOUSE["fact_order_history"]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in layout.fields if f.name != "orderhistory_key"]
+    for low in (0, 10):
+        facts = spark.range(low, low + 10).select(F.col("id").alias("orderhistory_key"), *empty, F.lit(202405).alias("date_month"))
+        store.write("fact_order_history", facts.select(*layout.names, "date_month"), "date_month")
+    first = store._committed("fact_order_history")[0]
+    delete_rows(store, "fact_order_history", layout, F.col("orderhistory_key") > 14)
+    left = store.appended("fact_order_history", layout, "date_month").select("orderhistory_key")
+    assert rows(left, "orderhistory_key") == [(i,) for i in range(15)]
+    assert store._committed("fact_order_history")[0] == first and store.highest_key("fact_order_history", "orderhistory_key") == 14
+    compact(store)
+    assert len(store.runs("fact_order_history")) == 1
+    assert rows(store.appended("fact_order_history", layout, "date_month").select("orderhistory_key"), "orderhistory_key") == [(i,) for i in range(15)]
+    with pytest.raises(ValueError, match="versions"):
+        delete_rows(store, "dim_product", WAREHOUSE["dim_product"], F.lit(True))
+
+
+def test_calendar_grows_with_the_data(spark, tmp_path):
+    shop = Shop(spark)
+    store = Store(spark, str(tmp_path))
+    for table in ("ps_orders", "ps_order_history"):
+        for row in shop.tables[table]:
+            row["date_add"] = "2031-03-04 05:06:07"
+    run_stage(store, shop)
+    run_warehouse(store, DAY1)
+    dw = read_warehouse(store)
+    assert dw.dim_date.agg(F.max("date")).first()[0] == dt.date(2031, 12, 31)
+    assert reports.orders_count(dw, period("year", "2031", as_of=DAY1)).first()[0] == 1
+
+
+def test_revoked_runs_keep_message_and_count(spark, tmp_path):
+    shop = Shop(spark)
+    store = Store(spark, str(tmp_path))
+    run_stage(store, shop, targets=["sg_state"], task_id="t9")
+    log = RunLog(store)
+    log.revoke("t9", dt.datetime(2030, 1, 1))
+    got = rows(log.runs().select("status", "message", "tables_processed", "ended_at"))
+    assert got == [("REVOKED", "stage_reload finished", 1, dt.datetime(2030, 1, 1))]
+
+
+def test_export_keeps_texts(spark, tmp_path):
+    texts = ["plain", "", None, " pad ", "\t", 'say "x", y', "two\nlines", "two\r\nlines", "a,b;c\\", '"', "\\N", "null", "#", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    made = export_csv(df, str(tmp_path / "export"), [F.asc("id")])
+    page, last = csv_page(spark, made, [F.asc("id")], page=1, page_size=50)
+    assert [(r["id"], r["name"]) for r in page.collect()] == list(enumerate(texts)) and last == 1 and made.total_rows == len(texts)
+
+
 def test_expire_keeps_history(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     layout = schema("key:long bk:long valid_from:date valid_to:date")

@@ -42,3 +42,9 @@ def test_overlap(spark):
     )
     assert df.filter(period("month", "2024-2", as_of=AS_OF).overlaps()).count() == 1
     assert period("quarter", "2024-1", as_of=AS_OF).months == (202401, 202403)
+
+
+@pytest.mark.parametrize("request_", [("quarter", "2024-5"), ("month", "2024-13"), ("year", "0"), ("range", None, "2024-02-02", "2024-01-01")])
+def test_numbers_that_name_no_period_are_refused(request_):
+    with pytest.raises(ValueError, match="there is no|before its start"):
+        period(*request_, as_of=dt.date(2024, 1, 1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.schemas import FIRST_DAY, WAREHOUSE
 
+# The calendar holds these days from the start; a load appends the years that its data reaches into.
 LAST_DAY = dt.date(2030, 12, 31)
 
 

@@ -8,27 +8,15 @@ from operator import and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.operators.joins import hot_keys, key_hash
 
-
-def incremental_append(
-    stage: DataFrame, fact: DataFrame, keys: list[str], hot_from: DataFrame | None = None
-) -> DataFrame:
+def incremental_append(stage: DataFrame, fact: DataFrame, keys: list[str]) -> DataFrame:
     """Stage rows whose key is not in the fact yet. Repeats inside the batch are kept.
 
-    Known keys are made distinct first, so copies in the fact are combined map-side. Stage rows of hot keys (see
-    ``hot_keys``) never enter the shuffle: they are held against a broadcast of those few keys. The hot keys, at most
-    MAX_HOT_KEYS numbers, are read before the plan is built, so that both routes surely agree on them.
-    ``hot_from`` may name a narrower source of the same key distribution.
+    Known keys are made distinct first, so copies in the fact are combined map-side. The anti join is a plain one: where
+    a key holds many stage rows, AQE splits its partition by the map tasks that wrote it.
     """
-    hot = [row["_hash"] for row in hot_keys(hot_from if hot_from is not None else stage, keys).collect()]
-    known = fact.select(*keys)
-    if not hot:
-        return stage.join(known.distinct(), keys, "left_anti").select(*stage.columns)
-    is_hot = key_hash(keys).isin(hot)
-    rest = stage.filter(~is_hot).join(known.filter(~is_hot).distinct(), keys, "left_anti")
-    aside = stage.filter(is_hot).join(F.broadcast(known.filter(is_hot).distinct()), keys, "left_anti")
-    return rest.select(*stage.columns).unionByName(aside.select(*stage.columns))
+    known = fact.select(*keys).distinct()
+    return stage.join(known, keys, "left_anti").select(*stage.columns)
 
 
 def resolved(df: DataFrame, keys: list[str]) -> DataFrame:

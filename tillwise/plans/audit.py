@@ -24,10 +24,13 @@ REPORT_ROWS = schema("report_id:text position:long row:text")
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """One row per run from its events: when it started, its latest state, and when it reached it."""
+    """One row per run from its events: when it started, its latest state, and when it reached it.
+
+    An event without a message, count or result leaves those of earlier events as they are.
+    """
     order = F.struct(F.col("at"), F.when(F.col("status") == RUNNING, 0).otherwise(1))
     latest = {
-        name: F.max_by(name, order).alias(name)
+        name: F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name)
         for name in events.columns
         if name not in ("id", "at", "job_name", "user_id", "report_type", "task_id", "parameters")
     }

@@ -54,11 +54,14 @@ REPORTS: dict[str, Report] = {
 }
 
 
+def check_choices(name: str, choices: dict[str, str] | None) -> None:
+    unknown = set(choices or {}) - set(REPORTS[name].choices)
+    if unknown:
+        raise ValueError(f"{name} has no choices {sorted(unknown)}")
+
+
 def build_report(
     name: str, dw: Warehouse, period: Period, as_of: dt.date, choices: dict[str, str] | None = None
 ) -> DataFrame:
-    report = REPORTS[name]
-    unknown = set(choices or {}) - set(report.choices)
-    if unknown:
-        raise ValueError(f"{name} has no choices {sorted(unknown)}")
-    return report.build(dw, period, as_of, choices or {})
+    check_choices(name, choices)
+    return REPORTS[name].build(dw, period, as_of, choices or {})

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.operators.calendar import date_frame, time_frame
+from tillwise.operators.calendar import LAST_DAY, date_frame, time_frame
 from tillwise.operators.facts import delete_where
 from tillwise.operators.reconcile import reconcile
 from tillwise.operators.scd import with_new_keys
 from tillwise.plans import dimensions, fact_loads
-from tillwise.plans.audit import FAILED, SUCCESS, ReportCatalog, RunLog
-from tillwise.plans.catalog import REPORTS
+from tillwise.plans.audit import ETL_EVENTS, FAILED, REPORT_EVENTS, REPORT_ROWS, SUCCESS, ReportCatalog, RunLog
+from tillwise.plans.catalog import REPORTS, build_report, check_choices
 from tillwise.plans.periods import Period
-from tillwise.plans.warehouse import Warehouse, read_warehouse
+from tillwise.plans.warehouse import PARTITIONED_FACTS, VERSIONED, Warehouse, read_warehouse
 from tillwise.schemas import PARTITION_COLUMN, WAREHOUSE
 from tillwise.session import configure
 from tillwise.sources.csv_export import Export, export_csv
@@ -25,6 +26,12 @@ from tillwise.sources.readers import TableReader
 from tillwise.sources.store import Store
 
 STAGE_PREFIX = "stage"
+APPENDED = {
+    "bridge_product_attribute": WAREHOUSE["bridge_product_attribute"],
+    RunLog.table: ETL_EVENTS,
+    ReportCatalog.table: REPORT_EVENTS,
+    ReportCatalog.rows_table: REPORT_ROWS,
+}
 
 Clock = Callable[[], dt.datetime]
 
@@ -33,9 +40,11 @@ def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-def _audited(log: RunLog, job_name: str, steps: Iterable[tuple[str, Callable[[], bool]]], clock: Clock) -> int:
+def _audited(
+    log: RunLog, job_name: str, steps: Iterable[tuple[str, Callable[[], bool]]], clock: Clock, task_id: str | None
+) -> int:
     """Run the steps in order, count those that loaded a table, and record the outcome. A failure is raised."""
-    run_id = log.start(job_name, clock())
+    run_id = log.start(job_name, clock(), task_id)
     loaded = 0
     try:
         for _, step in steps:
@@ -47,7 +56,9 @@ def _audited(log: RunLog, job_name: str, steps: Iterable[tuple[str, Callable[[],
     return loaded
 
 
-def run_stage(store: Store, read: TableReader, clock: Clock = _now, targets: Iterable[str] = SPECS) -> int:
+def run_stage(
+    store: Store, read: TableReader, clock: Clock = _now, targets: Iterable[str] = SPECS, task_id: str | None = None
+) -> int:
     """Full reload of the stage tables; each becomes visible as a whole."""
     configure(store.spark)
 
@@ -60,7 +71,7 @@ def run_stage(store: Store, read: TableReader, clock: Clock = _now, targets: Ite
 
         return step
 
-    return _audited(RunLog(store), "stage_reload", [(t, reload(t)) for t in targets], clock)
+    return _audited(RunLog(store), "stage_reload", [(t, reload(t)) for t in targets], clock, task_id)
 
 
 def stage_tables(store: Store) -> TableReader:
@@ -74,6 +85,21 @@ def _load_calendar(store: Store, table: str, rows: Callable[[], DataFrame]) -> b
     return True
 
 
+def _load_dates(store: Store, stage: TableReader, as_of: dt.date) -> bool:
+    """The calendar, up to the end of the last year that ``as_of`` or the newest stage row reaches into.
+
+    Keys number the days from the first one, so a longer calendar keeps the keys of the shorter one.
+    """
+    moments = [stage(t).select("date_add") for t in ("sg_cart_product", "sg_cart", "sg_orders", "sg_order_history")]
+    newest = reduce(DataFrame.unionByName, moments).agg(F.max(F.to_date("date_add"))).first()[0]
+    last = max(LAST_DAY, dt.date(max(as_of, newest or as_of).year, 12, 31))
+    known = store.replaced("dim_date", WAREHOUSE["dim_date"]).agg(F.max("date")).first()[0]
+    if known is not None and known >= last:
+        return False
+    store.write("dim_date", date_frame(store.spark, end=last).coalesce(1))
+    return True
+
+
 def _load_dimension(store: Store, dimension: dimensions.Dimension, stage: TableReader, as_of: dt.date) -> bool:
     schema = WAREHOUSE[dimension.name]
     rows = dimension.step(stage, store.current(dimension.name, schema), as_of).hint("rebalance")
@@ -104,7 +130,7 @@ def _append_fact(store: Store, fact: str, key: str, rows: DataFrame) -> bool:
     return True
 
 
-def run_warehouse(store: Store, as_of: dt.date, clock: Clock = _now) -> int:
+def run_warehouse(store: Store, as_of: dt.date, clock: Clock = _now, task_id: str | None = None) -> int:
     """Incremental load of the warehouse from stage. Running it again with the same stage changes nothing."""
     spark = configure(store.spark)
     stage = stage_tables(store)
@@ -157,7 +183,7 @@ def run_warehouse(store: Store, as_of: dt.date, clock: Clock = _now) -> int:
         return lambda: _load_dimension(store, which, stage, as_of)
 
     steps = [
-        ("dim_date", lambda: _load_calendar(store, "dim_date", lambda: date_frame(spark))),
+        ("dim_date", lambda: _load_dates(store, stage, as_of)),
         ("dim_time", lambda: _load_calendar(store, "dim_time", lambda: time_frame(spark))),
         ("dim_customer", dimension(dimensions.CUSTOMER)),
         ("dim_address", dimension(dimensions.ADDRESS)),
@@ -170,12 +196,31 @@ def run_warehouse(store: Store, as_of: dt.date, clock: Clock = _now) -> int:
         ("fact_order_history", order_history),
         ("fact_order", orders),
     ]
-    return _audited(RunLog(store), "dwh_incremental", steps, clock)
+    return _audited(RunLog(store), "dwh_incremental", steps, clock, task_id)
 
 
 def delete_rows(store: Store, table: str, schema, condition: Column) -> None:
-    """Delete from a replaced table: its next run holds the remaining rows."""
-    store.write(table, delete_where(store.replaced(table, schema), condition))
+    """Delete rows of a table.
+
+    Of a replaced table the next run holds the remaining rows. Of a fact, the bridge or an event table the runs that hold
+    such rows are rewritten. A versioned dimension is refused: its rows are the history that facts point at.
+    """
+    if table in VERSIONED:
+        raise ValueError(f"{table} keeps versions; close a version instead of deleting it")
+    if table in PARTITIONED_FACTS:
+        store.rewrite(table, schema, PARTITION_COLUMN, condition)
+    elif table in APPENDED:
+        store.rewrite(table, schema, condition=condition)
+    else:
+        store.write(table, delete_where(store.replaced(table, schema), condition))
+
+
+def compact(store: Store) -> None:
+    """Merge the small runs of facts, bridge and event tables; their contents stay the same."""
+    for fact in PARTITIONED_FACTS:
+        store.rewrite(fact, WAREHOUSE[fact], PARTITION_COLUMN)
+    for table, layout in APPENDED.items():
+        store.rewrite(table, layout)
 
 
 def run_report(
@@ -192,6 +237,7 @@ def run_report(
     """Build a report and put it into the catalog: a table report as CSV, a diagram report as JSON rows."""
     configure(store.spark)
     report = REPORTS[name]
+    check_choices(name, choices)
     catalog = ReportCatalog(store)
     parameters = {
         "user_id": user_id,
@@ -210,7 +256,7 @@ def run_report(
     report_id = catalog.start(user_id, name, parameters, clock(), task_id)
     export = None
     try:
-        rows = report.build(read_warehouse(store), period, as_of, choices or {})
+        rows = build_report(name, read_warehouse(store), period, as_of, choices)
         if report.data_type == "table":
             path = f"{(export_dir or store.root + '/exports').rstrip('/')}/{name}_{report_id}"
             export = export_csv(rows, path, report.order())

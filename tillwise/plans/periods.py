@@ -47,6 +47,11 @@ def _months(year: int, first: int, last: int, label: str) -> Period:
     return Period(dt.date(year, first, 1), dt.date(year, last, calendar.monthrange(year, last)[1]), label)
 
 
+def _check(name: str, number: int, most: int) -> None:
+    if not 1 <= number <= most:
+        raise ValueError(f"there is no {name} {number}; it must lie between 1 and {most}")
+
+
 def period(
     kind: str | None = None,
     value: str | None = None,
@@ -57,7 +62,8 @@ def period(
 ) -> Period:
     """Period of a request: ``month`` Y-M, ``quarter`` Y-Q, ``year`` Y or ``range`` start/end.
 
-    Unreadable numbers fall back to the period holding ``as_of``; a range needs both bounds.
+    Unreadable numbers fall back to the period holding ``as_of``; a range needs both bounds, in order. Numbers that name
+    no period, such as quarter 5, raise ``ValueError``.
     """
     kind = kind or "year"
     value = str(as_of.year) if value is None else value
@@ -65,17 +71,25 @@ def period(
         if not start or not end:
             raise ValueError("a range needs both bounds")
         try:
-            return Period(dt.date.fromisoformat(start), dt.date.fromisoformat(end), DAY_LABEL)
+            first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
         except ValueError:
             return Period(as_of, as_of, DAY_LABEL)
+        if last < first:
+            raise ValueError(f"the range ends on {last}, before its start on {first}")
+        return Period(first, last, DAY_LABEL)
     if kind == "month" and value:
         year, month = _two_numbers(value) or (as_of.year, as_of.month)
+        _check("month", month, 12)
+        _check("year", year, 9999)
         return _months(year, month, month, DAY_LABEL)
     if kind == "quarter" and value:
         year, quarter = _two_numbers(value) or (as_of.year, (as_of.month + 2) // 3)
+        _check("quarter", quarter, 4)
+        _check("year", year, 9999)
         return _months(year, quarter * 3 - 2, quarter * 3, MONTH_LABEL)
     try:
         year = int(value)
     except ValueError:
         year = as_of.year
+    _check("year", year, 9999)
     return _months(year, 1, 12, MONTH_LABEL)

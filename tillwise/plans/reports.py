@@ -62,7 +62,8 @@ def orders_paid(dw: Warehouse, period: Period) -> DataFrame:
 
 def summary(dw: Warehouse, period: Period) -> DataFrame:
     """The six key figures of a period, as one row. Only ``conversion_rate`` is rounded of the two rates."""
-    figures = orders_count(dw, period).crossJoin(orders_paid(dw, period)).crossJoin(carts_count(dw, period))
+    paid, carts = F.broadcast(orders_paid(dw, period)), F.broadcast(carts_count(dw, period))
+    figures = orders_count(dw, period).crossJoin(paid).crossJoin(carts)
 
     def per_cart(count: str) -> Column:
         carts = F.col("carts_count")

@@ -13,6 +13,11 @@ from tillwise.operators.ordering import number_rows
 
 BLOCK_ROWS = 100_000
 
+# NULL is written as nothing and an empty text as "". On reading, what stands for NULL must differ from both.
+TEXT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+WRITING = TEXT | {"nullValue": "", "emptyValue": '""'}
+READING = TEXT | {"nullValue": "\0", "emptyValue": "", "multiLine": True}
+
 
 @dataclass(frozen=True)
 class Export:
@@ -38,7 +43,7 @@ def export_csv(df: DataFrame, path: str, order_by: list[Column], block_rows: int
         .observe(counted, F.count(F.lit(1)).alias("total_rows"))
         .write.mode("overwrite")
         .partitionBy("block")
-        .option("header", True)
+        .options(**WRITING)
         .csv(path)
     )
     return Export(path, df.columns, counted.get["total_rows"], block_rows, df.schema)
@@ -48,7 +53,7 @@ def read_csv(spark: SparkSession, export: Export) -> DataFrame:
     schema = T.StructType(export.schema.fields + [T.StructField("block", T.LongType())])
     if export.total_rows == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(export.path)
+    return spark.read.schema(schema).options(**READING).csv(export.path)
 
 
 def csv_page(

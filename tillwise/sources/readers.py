@@ -23,7 +23,10 @@ def jdbc_options(
     **more: str,
 ) -> dict[str, str]:
     """Options of one JDBC read; ``split`` = (numeric column, lowest, highest, partitions) reads in parallel."""
-    options = {"url": url, "dbtable": table, "fetchsize": str(fetch_rows), **more}
+    options = {"url": url, "dbtable": table, "fetchsize": str(fetch_rows)}
+    if url.startswith("jdbc:mysql:"):  # dates of zeros come as NULL instead of failing the read
+        options["zeroDateTimeBehavior"] = "CONVERT_TO_NULL"
+    options |= more
     if split:
         column, low, high, partitions = split
         options |= {
