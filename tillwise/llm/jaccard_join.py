@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.llm.graph import components
-from tillwise.llm.storage import plain_names, stored
+from tillwise.llm.storage import plain_names, stored, with_ids
 from tillwise.llm.words import Batch, batches, mix
 
 K = 2
@@ -197,8 +197,8 @@ def _candidates(reps: DataFrame, pairs: DataFrame, alike: Alike, near: bool) ->
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
     """The pairs (``a``, ``b``) of representatives whose full sets are alike."""
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    need = stored(reps.join(ends, "v").select("v", F.col("doc_id").alias("rep_id"), "s1", "s2"), "need")
-    texts = docs.join(need.select("rep_id").distinct(), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    need = stored(reps.join(ends, "v").select("v", "doc_id", "s1", "s2"), "need")
+    texts = with_ids(docs, need, "doc_id")
     found = texts.select("text").mapInArrow(_full_sets(alike), "s1 long, s2 long, shingles array<long>")
     sets = stored(found.join(need.select("v", "s1", "s2"), ["s1", "s2"]).select("v", "shingles").dropDuplicates(["v"]), "sets")
     a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("in_a"))

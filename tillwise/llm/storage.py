@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwise.session import configure, shared_dir
 
@@ -39,6 +40,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter of ``with_ids``: 2**20 numbers of 64 bits, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (NULL included) is in the column of that name of ``ids``.
+
+    Wide rows should not travel to find out that they aren't wanted. So the hashes of the ids, as a bitmap of bounded
+    size, are broadcast first; the few rows that pass are then joined with the ids themselves.
+    """
+
+    def places() -> tuple[Column, Column]:
+        bucket = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+        return F.shiftright(bucket, 6), (bucket % 64).cast("int")
+
+    word, bit = places()
+    bits = ids.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit"))
+    bitmap = bits.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    word, bit = places()
+    passed = df.join(F.broadcast(bitmap), word == F.col("__word")).filter(F.getbit("__bits", bit) == 1).select(df.columns)
+    wanted = ids.select(F.col(column).alias("__id")).distinct()
+    return passed.join(wanted, F.col(column).eqNullSafe(F.col("__id")), "left_semi")
+
+
 def plain_names(df: DataFrame) -> DataFrame:
     """``df`` with its columns numbered, for functions that pass whole rows through: any name is possible in ``df``."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
