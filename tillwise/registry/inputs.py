@@ -35,6 +35,13 @@ _PRICE = f"CAST(CAST({_CENTS.format('o_totalprice')} AS DECIMAL(20,0)) * CAST(0.
 _OPEN = "DATE '9999-12-31'"
 
 INPUTS: dict[str, str] = {
+    # Texts that are hard to keep in a CSV file
+    "part_texts": """
+        SELECT p_partkey AS part_id,
+               CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' || p_name || ' '
+                    WHEN 3 THEN p_name || chr(10) || 'second "line"' WHEN 4 THEN '"' || p_name || '"'
+                    WHEN 5 THEN p_name || ', x; y' ELSE p_name END AS name
+        FROM {part}""",
     # Star schema
     "dim_product": f"""
         SELECT p_partkey AS product_key, p_partkey AS productid_bk, p_partkey % 7 AS productattributeid_bk,

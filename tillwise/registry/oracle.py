@@ -215,6 +215,9 @@ def _reports() -> dict[str, str]:
             SELECT customer_id, total_spent, order_count,
                    (SELECT CAST(ceil(COUNT(*) / 20.0) AS BIGINT) FROM ranked) AS last_page
             FROM ranked ORDER BY total_spent DESC NULLS FIRST, customer_id LIMIT 20 OFFSET 40""",
+        "csv_text_page": """
+            SELECT part_id, name, (SELECT CAST(ceil(COUNT(*) / 60.0) AS BIGINT) FROM part_texts) AS last_page
+            FROM part_texts ORDER BY part_id LIMIT 60 OFFSET 60""",
         "report_rows": f"""
             SELECT 'report 1' AS report_id,
                    CAST(json_object('gender', gender, 'customers_count', customers_count) AS VARCHAR) AS row

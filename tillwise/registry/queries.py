@@ -148,6 +148,13 @@ def _csv_page(inputs: Inputs) -> DataFrame:
     return cents(page.withColumn("last_page", F.lit(last).cast("long")), "total_spent")
 
 
+def _csv_text_page(inputs: Inputs) -> DataFrame:
+    path = os.path.join(shared_dir(inputs.spark), f"export-{uuid.uuid4()}")
+    made = export_csv(inputs("part_texts"), path, [F.asc("part_id")], block_rows=40)
+    page, last = csv_page(inputs.spark, made, [F.asc("part_id")], page=2, page_size=60)
+    return page.withColumn("last_page", F.lit(last).cast("long"))
+
+
 def _stage_round_trip(inputs: Inputs) -> DataFrame:
     store = Store(inputs.spark, os.path.join(shared_dir(inputs.spark), f"store-{uuid.uuid4()}"))
     run_stage(store, inputs, targets=["sg_order_history"])
@@ -200,6 +207,7 @@ def queries() -> dict[str, Query]:
         "median_order_value": _report(lambda dw: exact_median(dw.fact_order, "paid_tax_incl", "median_order_total")),
         "customers_above_median": _report(lambda dw: reports.customers_above_median(dw, YEAR), "total_spent"),
         "csv_page": _over(_csv_page),
+        "csv_text_page": _over(_csv_text_page),
         "report_rows": _over(
             lambda i: json_rows(reports.gender_distribution(i.warehouse, YEAR), "report 1").drop("position")
         ),
