@@ -2,9 +2,8 @@
 
 Texts are cut into words by the tokenizer's pattern and coded block by block (``BLOCK_BYTES`` of text at most) as numbers
 of the block's distinct words. Each distinct word is one row, which a fold over its byte ranks encodes: every step merges
-the leftmost adjacent pair of lowest rank, looked up in a literal map from pairs of ranks to the rank of their
-concatenation. The literal is split into shards by hash, so that a lookup is an array access and a search over a few
-numbers. Decoding puts the byte pieces of the ids together. Words and texts stay in the task that read them: nothing is
+the leftmost adjacent pair of lowest rank, looked up in a literal map from pairs of tokens to the rank of their
+concatenation. The literal is split into shards, so that a lookup is an array access and a search over a few numbers. Decoding puts the byte pieces of the ids together. Words and texts stay in the task that read them: nothing is
 shuffled, collected or broadcast but the vocabulary. Words of over ``FOLDED_BYTES`` bytes, for which a fold of arrays
 would be quadratic, are merged with a heap in Python, by the same ranks.
 
@@ -26,11 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 16 << 20
-FOLDED_BYTES = 256
-SHARDS, SPREAD = 65521, 40503
-#: Stands for "no such pair"; above every rank.
-NONE = 1 << 30
+BLOCK_BYTES = 32 << 20
+FOLDED_BYTES = 128
+SHARDS = 1 << 16
+#: Stands for "no such pair"; above every result.
+NONE = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,15 +48,24 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return found
 
 
-def _key(left: int, right: int) -> int:
-    return (left + 1 << 20) + right
+def codes_of(ranks: dict[bytes, int]) -> dict[int, int]:
+    """A scattered 16-bit code for each rank, so that ``left ^ right`` spreads pairs evenly over the shards."""
+    if max(ranks.values()) >= SHARDS:
+        raise ValueError(f"a vocabulary may have at most {SHARDS} tokens")
+    scattered = np.random.default_rng(0).permutation(SHARDS).tolist()
+    return {rank: scattered[rank] for rank in ranks.values()}
 
 
-def sharded(pairs: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Shards of alternating keys and ranks; keys are larger than all ranks."""
-    shards: list[list[int]] = [[] for _ in range(SHARDS)]
+def sharded(pairs: dict[tuple[int, int], int], codes: dict[int, int]) -> list[list[int]]:
+    """Shard ``left ^ right`` (codes): NONE, then right code and result by turns.
+
+    A result is the rank, raised by one, above 16 bits of code, so results are in the order of the ranks and above all
+    codes. A right code that stands at place p (from 1) has its result at index p (from 0); one that is missing has place
+    0, where NONE is.
+    """
+    shards: list[list[int]] = [[NONE] for _ in range(SHARDS)]
     for (left, right), rank in pairs.items():
-        shards[(left * SPREAD + right) % SHARDS] += [_key(left, right), rank]
+        shards[codes[left] ^ codes[right]] += [codes[right], (rank + 1 << 16) + codes[rank]]
     return shards
 
 
@@ -70,51 +78,39 @@ class Folds:
     """The literals and expressions of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        shards = json.dumps(sharded(pair_ranks(ranks)), separators=(",", ":"))
-        self.shards = F.from_json(F.lit(shards), "array<array<bigint>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
-        pieces = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token.hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+        codes = codes_of(ranks)
 
-    def rank(self, left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("long") + 1, 20) + right
-        place = (left.cast("long") * SPREAD + right) % SHARDS
+        def literal(value: list, kind: str) -> Column:
+            return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
-        def found(pair: Column) -> Column:
-            at = F.array_position(pair["shard"], pair["key"])
-            return F.when(at > 0, F.get(pair["shard"], at.cast("int")).cast("int")).otherwise(F.lit(NONE))
+        self.shards = literal(sharded(pair_ranks(ranks), codes), "array<array<bigint>>")
+        self.bytes = literal([codes[ranks[bytes([b])]] for b in range(256)], "array<bigint>")
+        by_code, pieces = [0] * SHARDS, [""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_code[codes[rank]] = rank
+            pieces[rank] = token.hex()
+        self.ranks, self.pieces = literal(by_code, "array<int>"), literal(pieces, "array<string>")
 
-        return _let(F.struct(key.alias("key"), F.get(self.shards, place.cast("int")).alias("shard")), found)
+    def result(self, left: Column, right: Column) -> Column:
+        """What two adjacent codes merge into, or NONE."""
+        shard = F.get(self.shards, left.bitwiseXOR(right))
+        return F.get(shard, F.array_position(shard, right))
 
     def ids(self, word: Column) -> Column:
         """Ids of a word given as an array of byte values."""
-        tokens = F.transform(word, lambda b: F.get(self.bytes, b))
-        none = F.array().cast("array<int>")
-
-        def start(t: Column) -> Column:
-            steps = F.when(F.size(t) > 1, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(none)
-            return F.struct(t.alias("t"), F.transform(steps, lambda i: self.rank(F.get(t, i), F.get(t, i + 1))).alias("r"))
-
-        def merged(s: Column) -> Column:
-            # s: tokens t, ranks r of adjacent pairs, lowest rank m and its place p (from 1)
-            t, r, m, p = s["t"], s["r"], s["m"], s["p"]
-            tokens = F.concat(F.slice(t, 1, p - 1), F.array(m), F.slice(t, p + 2, F.size(t)))
-            left = F.when(p > 1, F.array(self.rank(F.get(t, p - 2), m))).otherwise(none)
-            right = F.when(p + 1 < F.size(t), F.array(self.rank(m, F.get(t, p + 1)))).otherwise(none)
-            ranks = F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(t)))
-            return F.struct(tokens.alias("t"), ranks.alias("r"))
-
-        def step(s: Column, _: Column) -> Column:
-            def at(m: Column) -> Column:
-                state = F.struct(s["t"].alias("t"), s["r"].alias("r"), m.alias("m"), F.array_position(s["r"], m).cast("int").alias("p"))
-                return F.when(F.coalesce(m, F.lit(NONE)) >= NONE, F.struct(s["t"].alias("t"), s["r"].alias("r"))).otherwise(_let(state, merged))
-
-            return _let(F.array_min(s["r"]), at)
-
-        folded = F.aggregate(word, _let(tokens, start), step)["t"]
-        return F.when(F.size(word) > 1, folded).otherwise(tokens)
+
+        def step(codes: Column, _: Column) -> Column:
+            def merged(results: Column) -> Column:
+                least = F.array_min(results)
+                place = F.array_position(results, least).cast("int")
+                both = F.slice(codes, 1, place - 1), F.array(least.bitwiseAND(F.lit(0xFFFF))), F.slice(codes, place + 2, F.size(codes))
+                return F.when(least < F.lit(NONE), F.concat(*both)).otherwise(codes)
+
+            return _let(F.zip_with(codes, F.slice(codes, 2, F.size(codes)), self.result), merged)
+
+        start = F.transform(word, lambda b: F.get(self.bytes, b))
+        folded = F.aggregate(F.slice(word, 2, F.size(word)), start, step)
+        return F.transform(folded, lambda c: F.get(self.ranks, c))
 
     def decoded(self, ids: Column) -> Column:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
