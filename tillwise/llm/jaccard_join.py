@@ -46,7 +46,7 @@ RARE = 64
 #: Sets with at most so many frequent shingles in their prefix meet one another at combinations of these only.
 COMBINED = 8
 #: Parity bitmap of a set: 1024 bits for sets of over ``LONG`` shingles, else folded to 256, with the other words zero.
-LONG = 512
+LONG = 1024
 BITS = [f"b{i}" for i in range(16)]
 
 
