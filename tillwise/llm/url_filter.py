@@ -10,6 +10,7 @@ alone; repeated rows get equal verdicts; other columns are not read. An empty ta
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.storage import stored
+
 #: Size of the word model (the most frequent words) and of the classifier.
 VOCABULARY, BUCKETS = 50_000, 1 << 16
 LONGEST_WORD = 24
@@ -63,7 +66,13 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     text = F.lower(F.concat_ws(" ", title, path_of(F.col("url"))))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter(f"length(word) BETWEEN 2 AND {LONGEST_WORD}")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    counted = stored(words.groupBy("word").count(), "words")
+    # Only words from the size class up that completes the vocabulary are sorted, or each task would send as many as fit.
+    size = F.floor(F.log2("count")).cast("int")
+    classes = sorted(counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    above = list(itertools.accumulate(r["words"] for r in classes))
+    least = next((r["size"] for r, n in zip(classes, above) if n >= VOCABULARY), 0)
+    top = counted.filter(size >= least).orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
     counts = {r["word"]: r["count"] for r in top}
     typical = max(1, int(np.median(list(counts.values()) or [1])))
     return {w: typical for w in BLOCK_WORDS} | counts
