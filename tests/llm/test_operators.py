@@ -180,6 +180,24 @@ def test_repeated_passages(docs, texts, nothing):
     assert passages.repeated_passages(nothing).count() == passages.cut(nothing).count() == 0
 
 
+def test_passages_are_found_from_the_declared_identity_on(spark):
+    """Each place that the alignment accepts from a seed of its own is found, with edits at any distance."""
+    rows, want = [], {}
+    for i, (size, every) in enumerate(itertools.product([54, 60, 100], [5, 6, 7, 8, 12])):
+        for case in range(4):
+            passage, doc = prose(100 * i + case, size), len(rows)
+            copy = edited(passage, every, every - 1)
+            rows += [" ".join([prose(40_000 + doc, 30), passage, prose(50_000 + doc, 30)]), " ".join([prose(60_000 + doc, 25), copy, prose(70_000 + doc, 25)])]
+            a, b = rows[-1].split(), rows[-2].split()
+            at = [(x, x + 5) for x in range(len(a) - passages.K) if a[x : x + passages.K] == b[x + 5 : x + 5 + passages.K]]
+            best = passages.aligned(a, b, *zip(*at))
+            assert best
+            want[doc + 1] = (doc, best[0][1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["source_doc_id"], r["words"]) for r in passages.repeated_passages(docs).collect()}
+    assert found == want
+
+
 def brute_chain(pairs):
     best = []
     for i, (x, y) in enumerate(pairs):
