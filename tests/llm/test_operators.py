@@ -180,6 +180,31 @@ def test_repeated_passages(docs, texts, nothing):
     assert passages.repeated_passages(nothing).count() == passages.cut(nothing).count() == 0
 
 
+def covered(found, doc, start, words):
+    """Whether passages of a document cover all its words from ``start`` on."""
+    spans = [(r["start"], r["start"] + r["words"]) for r in found if r["doc_id"] == doc]
+    return all(any(a <= i < b for a, b in spans) for i in range(start, start + words))
+
+
+@pytest.mark.parametrize("size, excerpts", [(50, [(0, 30), (20, 30)]), (60, [(0, 45)]), (114, [(0, 49), (40, 49), (65, 49)])])
+def test_passages_after_excerpts_in_earlier_documents(spark, size, excerpts):
+    """More than RARE earlier documents hold only a part of the passage, and come first by all of its seeds."""
+    passage, rows = prose(70, size).split(), []
+    for copy in range(passages.RARE):
+        rows += [" ".join([prose(7000 + 10 * copy + i, 40), *passage[a : a + n], prose(8000 + 10 * copy + i, 40)]) for i, (a, n) in enumerate(excerpts)]
+    at = len(rows)
+    rows += [" ".join([prose(9000 + i, 35), *passage, prose(9100 + i, 35)]) for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    assert covered(found, at + 1, 35, size)
+    assert {r["doc_id"] for r in found} == {at + 1} and {r["source_doc_id"] for r in found} == {at}
+    words = [t.split() for t in rows]
+    for r in found:
+        mine = words[r["doc_id"]][r["start"] : r["start"] + r["words"]]
+        assert r["identity"] < 1 or mine == words[r["source_doc_id"]][r["source_start"] : r["source_start"] + r["source_words"]]
+    assert prose(70, size) not in {r["doc_id"]: r["text"] for r in passages.cut(docs).collect()}[at + 1]
+
+
 def test_passages_are_found_from_the_declared_identity_on(spark):
     """Each place that the alignment accepts from a seed of its own is found, with edits at any distance."""
     rows, want = [], {}
