@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tillwise.llm import line_crf, registry
+from tillwise.llm import line_crf, passages, registry
 from tillwise.llm.storage import read_table, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -69,6 +69,22 @@ def test_stages(spark):
     assert {r["doc_id"] for r in docs.collect()} == set(cut) and last.count() == len(cut)
 
 
+@pytest.mark.parametrize("sf_dir", [SF_DIR, "/root/testdata/sf0.01"])
+def test_every_shared_run_of_a_passage_is_covered(spark, sf_dir):
+    """All runs of MIN_WORDS words that an earlier text has too lie in passages of the later one."""
+    docs = read_table(spark, sf_dir, "documents")
+    first, words = {}, {r["doc_id"]: (r["text"] or "").encode().split() for r in docs.select("doc_id", "text").collect()}
+    spans = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        spans[r["doc_id"]].update(range(r["start"], r["start"] + r["words"]))
+    n = passages.MIN_WORDS
+    for doc in sorted(words):
+        for i in range(len(words[doc]) - n + 1):
+            if first.setdefault(tuple(words[doc][i : i + n]), doc) != doc:
+                assert spans[doc].issuperset(range(i, i + n)), (doc, i)
+    assert spans
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_duckdb(spark, name):
     tables = duckdb.connect()
