@@ -120,6 +120,23 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_outside_a_teaser_in_an_article_element():
+    body = [prose(i, 60) for i in range(3)]
+    teaser = "<article><h3>Next</h3><p>Read this too.</p></article>"
+    page = "<div>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><section>{teaser}</section>"
+    assert html_text.main_text(page).split("\n")[:3] == body
+    marked = f"<div><p>Plain words about the site.</p></div><article><p>{body[0]}</p><p><a>link</a></p></article>"
+    assert html_text.main_text(marked) == f"{body[0]}\nlink"
+
+
+def test_html_text_keeps_short_paragraphs_behind_links():
+    links = "<ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul>"
+    long, short = prose(1, 800), "A closing paragraph of a few words."
+    page = f"<div>{links}</div><div><p>Opening.</p>{links}<p>{long}</p>{links}<p>{short}</p></div><div>{links}</div>"
+    between = "one\ntwo\nthree"
+    assert html_text.main_text(page) == "\n".join(["Opening.", between, long, between, short])
+
+
 def test_packing(docs, texts, nothing):
     tokenizer = Tokenizer.from_file(WORDS_PATH)
     found = packing.pack(docs, WORDS_PATH).collect()

@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one per block element, in page order. A line counts its characters outside links; lines in
 menus, headers, footers, side bars, notices, adverts, forms, comments and other page parts that aren't the article count
-none and have no text. The lengths are summed over sliding windows of ``WINDOW`` lines. Text begins where the sum surges
-from nothing and ends where it dives back; what lies between is kept whole. If the page marks an article (or a main
-part), lines outside it count none; otherwise a stretch is text only if its peak reaches ``PEAK_SHARE`` of the highest.
+none and have no text. The lengths are summed over sliding windows of ``WINDOW`` lines: a stretch begins where the sum
+surges from nothing and ends where it dives back. Stretches are judged by their own share of link text; from the first
+surge to the last dive of those that are mostly text outside links, everything is kept. If the page marks an article (or
+a main part) and the stretches outside it hold no more text than it does, the text is what it marks, whole.
 
 Defined cases: NULL, empty or text-free html gives an empty text; unclosed or stray tags are closed with the element
 around them; an unclosed page part ends with its parent. Rows are handled one by one; columns besides id, url and html are
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-PEAK_SHARE = 0.25
+#: A stretch with a larger share of its characters in links is no end of the text.
+LINK_SHARE = 0.5
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,35 +154,37 @@ class _Lines(HTMLParser):
         return self.lines
 
 
-def stretches(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """Surge, dive and peak of each stretch where the window sums are above nothing; bounds fit its first and last text."""
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[: len(lengths)]  # of a line and those before it
+def stretches(plain: np.ndarray, full: np.ndarray) -> list[tuple[int, int, int]]:
+    """Surge, dive and characters outside links of each stretch where the window sums are above nothing and links don't
+    prevail; bounds fit its first and last text. If links prevail in all of them, all are taken."""
+    sums = np.convolve(plain, np.ones(WINDOW, np.int64))[: len(plain)]  # of a line and those before it
     above = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(above[1:] != above[:-1])
-    found = []
+    found, texts = [], []
     for surge, dive in zip(edges[0::2], edges[1::2]):
-        last = surge + int(np.flatnonzero(lengths[surge:dive])[-1])
-        found.append((int(surge), last + 1, int(sums[surge:dive].max())))
-    return found
+        dive = surge + int(np.flatnonzero(plain[surge:dive])[-1]) + 1
+        size = int(plain[surge:dive].sum())
+        found.append((int(surge), int(dive), size))
+        if size >= (1 - LINK_SHARE) * full[surge:dive].sum():
+            texts.append(found[-1])
+    return texts or found
 
 
 def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html or "")
     lines = parser.finish()
-    marked = any(inside and text for text, _, inside in lines)
-    kept = [(text, plain if inside or not marked else 0) for text, plain, inside in lines]
-    if marked:  # links inside the article are its text
-        kept = [(text, len(text) if inside else 0) for text, _, inside in lines]
     # Lines without text of their own stand for the markup between lines; runs of them count as one.
-    kept = [line for i, line in enumerate(kept) if line[0] or i == 0 or kept[i - 1][0]]
-    spans = stretches(np.array([n for _, n in kept], np.int64)) if kept else []
-    highest = max((peak for *_, peak in spans), default=0)
-    out = []
-    for surge, dive, peak in spans:
-        if marked or peak >= PEAK_SHARE * highest:
-            out += [text for text, n in kept[surge:dive] if text and (n or not marked)]
-    return "\n".join(out)
+    lines = [line for i, line in enumerate(lines) if line[0] or i == 0 or lines[i - 1][0]]
+    full = np.array([len(text) for text, _, _ in lines], np.int64)
+    plain = np.array([n for _, n, _ in lines], np.int64)
+    inside = np.array([marked for _, _, marked in lines], bool)
+    if full[inside].sum():  # links inside the article are its text
+        outside = stretches(np.where(inside, 0, plain), np.where(inside, 0, full))
+        if sum(size for *_, size in outside) <= full[inside].sum():
+            return "\n".join(text for text, _, marked in lines if text and marked)
+    spans = stretches(plain, full)
+    return "\n".join(text for text, _, _ in lines[spans[0][0] : spans[-1][1]] if text) if spans else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
