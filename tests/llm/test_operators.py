@@ -443,3 +443,16 @@ def test_layouts(spark):
     assert [(r["role"], r["text"]) for r in chat.canonical_turns(table).collect()] == [("user", "h")]
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical_turns(spark.range(1))
+
+
+def test_layouts_of_later_messages_and_repeated_rows(spark):
+    both = {"messages": [{"role": "user", "content": "m"}, {"from": "gpt", "value": "g"}]}
+    same = {"messages": [{"role": "user", "content": "m"}, {"role": "assistant", "content": "[1]"}]}
+    text = {"prompt": '[{"a": 1}]', "completion": "[]"}
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate([both, same, text])], "id long, record string")
+    found = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.canonical_turns_of_json(rows, "id", "record").collect())
+    assert found == [(1, 0, "user", "m"), (1, 1, "assistant", "[1]"), (2, 0, "user", '[{"a": 1}]'), (2, 1, "assistant", "[]")]
+    assert [r["conv_id"] for r in chat.unmapped(rows, "id", "record").collect()] == [0]
+    twice = spark.createDataFrame([("p", "c"), ("p", "c")], "prompt string, completion string")
+    made = chat.read_back(chat.formatted(chat.canonical_turns(twice))).collect()
+    assert [[tuple(t) for t in r["turns"]] for r in made] == [[("user", "p"), ("assistant", "c")]] * 2

@@ -8,6 +8,7 @@ output, and taking one away gives the text back. Roles are URL-encoded besides.
 
 Defined cases: NULL texts and roles count as empty; rows of one conversation are put in order by turn (NULL first), then
 role and text, and repeated rows are turns of their own; rows without a conversation id form one conversation without id;
+rows of tables without an id column are conversations of their own;
 columns outside a mapping are not read. An unknown layout raises ``ValueError`` for a table; unknown JSON records come
 back from ``unmapped``. An empty table gives an empty result.
 """
@@ -120,20 +121,24 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     mapping = mapping_of(df)
     if mapping.name == "turn rows":
         return df.select("conv_id", "turn", _text(F.col("role")).alias("role"), _text(F.col("text")).alias("text"))
-    conv = next((F.col(c) for c in ID_COLUMNS if c in df.columns), F.xxhash64(*df.columns))
-    turns = F.explode(_record_turns(mapping, lambda path: F.col(f"`{path}`"))).alias("t")
-    return df.select(conv.alias("conv_id"), turns).select("conv_id", "t.turn", "t.role", "t.text")
+    conv = next((F.col(c) for c in ID_COLUMNS if c in df.columns), F.monotonically_increasing_id())
+    turns = _record_turns(mapping, lambda path: F.col(f"`{path}`")).alias("turns")
+    records = df.select(conv.alias("conv_id"), turns)  # rows have their ids before their turns are taken apart
+    return records.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def _json_fingerprint(record: Column) -> Column:
-    """The SHA-256 of a JSON record's field paths, as ``schema_paths`` would give them, up to two levels."""
+    """The SHA-256 of a JSON record's field paths, as ``schema_paths`` would give them, up to two levels; of
+    an array, the paths of all elements together."""
     tops = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def below(top: Column) -> Column:
-        inner = F.call_function("get_json_object", record, F.concat(F.lit("$."), top, F.lit("[0]")))
-        keys = F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>"))
-        inside = F.transform(keys, lambda k: F.concat(top, F.lit("[]."), k))
-        return F.when(inner.isNull(), F.array(top)).otherwise(F.concat(F.array(top, F.concat(top, F.lit("[]"))), inside))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$."), top))
+        first = F.call_function("get_json_object", record, F.concat(F.lit("$."), top, F.lit("[0]")))
+        none = F.array().cast("array<string>")
+        keys = F.transform(F.from_json(value, "array<string>"), lambda e: F.coalesce(F.json_object_keys(e), none))
+        inside = F.transform(F.array_distinct(F.coalesce(F.flatten(keys), none)), lambda k: F.concat(top, F.lit("[]."), k))
+        return F.when(first.isNull(), F.array(top)).otherwise(F.concat(F.array(top, F.concat(top, F.lit("[]"))), inside))
 
     kept = F.filter(tops, lambda t: ~t.isin(*ID_COLUMNS))
     return F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(kept, below))), "\n"), 256)
