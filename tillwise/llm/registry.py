@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import byte_bpe, chat, exact_dedup, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
+from tillwise.llm import byte_bpe, chat, exact_dedup, html_text, jaccard_join, line_crf, minhash, packing, passages, prefix_trie, spelling, url_filter, warc
 from tillwise.llm.storage import read_table as table
+from tillwise.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,8 +152,93 @@ FROM c
 """
 
 
+def _crc32(text: str) -> str:
+    """DuckDB has no CRC-32: the bytes of ``text`` one after the other, each bit by bit."""
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda c, b: {step}), 4294967295)"
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Runs that are too short already can't become long enough words.
+    runs = spelling.occurrences(table(spark, sf_dir, "documents")).filter(F.length("run") >= 6)
+    runs = runs.withColumn("h", F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))))
+    at = (F.col("h") % F.length("run")).cast("int")
+    without = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    runs = runs.withColumn("word", F.when(F.col("h") % 199 == 0, without).otherwise(F.col("run")))
+    return spelling.variants(spelling.counted(runs, "word"))
+
+
+SQL["op11_spelling_variants"] = rf"""
+WITH r AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) WHERE length(run) >= 6 GROUP BY ALL
+), h AS MATERIALIZED (SELECT run, k, {_crc32("doc_id || ':' || run")} AS h FROM r
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+         sum(k)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+), d AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN w b ON a.less = b.word
+  UNION SELECT a.word, b.word, b.n FROM w a JOIN d b ON b.less = a.word
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.most >= 5 * w.n THEN m.near END AS form,
+         CASE WHEN m.most >= 5 * w.n THEN m.most END AS form_n
+  FROM w LEFT JOIN (SELECT word, count(*) AS n_near, max(n) AS most, first(near ORDER BY n DESC, encode(near)) AS near FROM near GROUP BY word) m USING (word)
+), up AS (
+  WITH RECURSIVE u AS (SELECT word, word AS root FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.root AND f.form IS NOT NULL)
+  SELECT u.word, u.root FROM u JOIN f ON f.word = u.root AND f.form IS NULL
+)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word)
+"""
+
+
+def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = stored(minhash.fingerprints(docs), "fingerprints")
+    copies = minhash.near_copies(docs, found).withColumnRenamed("id", "doc_id")
+    joined = found.withColumnRenamed("id", "doc_id").join(copies.dropDuplicates(["doc_id"]), "doc_id", "left")
+    return joined.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.grafted(prefix_trie.paths(table(spark, sf_dir, "conversations")), 5, 9))
+
+
+SQL["op13_conversation_trie"] = rf"""
+WITH c AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), b AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(o.turns, [])[1:h], c.turns[h + 1:]) AS turns
+  FROM (SELECT *, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM c) c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5
+), p AS MATERIALIZED (
+  SELECT conv_id, d, turns[1:d] AS node, len(turns) = d AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM b)
+), n AS MATERIALIZED (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(node[d].t)) END AS saved
+  FROM p GROUP BY node, d
+), k AS MATERIALIZED (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), s AS MATERIALIZED (
+  SELECT n.node[1:a.d] AS node, a.d AS depth, sum(n.saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM n LEFT JOIN k ON k.node = n.node CROSS JOIN LATERAL (SELECT unnest(range(n.depth + 1)) AS d) a GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens,
+       n.ends_sha256
+FROM n JOIN s ON s.node = n.node AND s.depth = n.depth LEFT JOIN k ON k.node = n.node
+LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.node = n.node[1:n.depth - 1]
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op5_repeated_passages, op6_line_labels, op7_byte_bpe, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_html_text, op4_best_fit_packing, op5_repeated_passages, op6_line_labels, op7_byte_bpe, op8_ngram_jaccard_join, op9_warc, op10_chat_formatting, op11_spelling_variants, op12_minhash_fingerprints, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

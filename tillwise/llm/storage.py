@@ -67,3 +67,13 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def plain_names(df: DataFrame) -> DataFrame:
     """``df`` with its columns numbered, for functions that pass whole rows through: any name is possible in ``df``."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files behind tables that ``stored`` wrote, once nothing reads them any more."""
+    root = shared_dir(spark).rstrip("/").rsplit(":", 1)[-1].lstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        if root in folder:  # never a table of the user
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
