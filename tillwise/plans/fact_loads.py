@@ -1,7 +1,9 @@
 """Fact and bridge loads: the rows each load would append.
 
 Known rows are removed first, by source ids the fact itself carries, so that an incremental load resolves dimension
-keys for new rows only, and a later dimension version never makes an old line look new.
+keys for new rows only, and a later dimension version never makes an old line look new. Where one id names the row at its
+source (order lines, history rows, orders), known ids are exact bitmaps: ``loaded`` takes those kept with the fact, and
+without them they are made from its id column; either way no id of the fact is shuffled.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.cleanse import blank_to_null
 from tillwise.operators.facts import incremental_append, resolved
+from tillwise.operators.id_bitmaps import id_bitmaps, not_in
 from tillwise.operators.lookup import calendar_keys, lookup_key
 from tillwise.schemas import PARTITION_COLUMN, WAREHOUSE
 from tillwise.sources.readers import TableReader
 
 CART_LINE_KEYS = ["cartid_bk", "productid_bk", "productattributeid_bk", "customerid_bk"]
-ORDER_LINE_KEYS = ["orderid_bk", "orderdetailid_bk"]
-HISTORY_KEYS = ["orderhistoryid_bk", "orderid_bk", "orderstateid_bk"]
+#: The id that names a row of the fact at its source.
+ROW_IDS = {"fact_order_line": "orderdetailid_bk", "fact_order_history": "orderhistoryid_bk", "fact_order": "orderid_bk"}
 PRODUCT_KEYS = {"productid_bk": "productid_bk", "productattributeid_bk": "productattributeid_bk"}
 REQUIRED = ["product_sk", "customer_sk"]
 
@@ -27,6 +30,11 @@ def _layout(fact: str, key: str) -> list[str]:
     return [c for c in WAREHOUSE[fact].names if c != key] + [PARTITION_COLUMN]
 
 
+def _new(rows: DataFrame, name: str, fact: DataFrame | None, loaded: DataFrame | None) -> DataFrame:
+    column = ROW_IDS[name]
+    return not_in(rows, column, loaded if loaded is not None else id_bitmaps(fact, column))
+
+
 def bridge_rows(stage: TableReader, dim_product: DataFrame, dim_attribute: DataFrame, bridge: DataFrame) -> DataFrame:
     """Product-attribute pairs not in the bridge yet; every product version keeps its attributes."""
     combinations = stage("sg_product_attribute_combination").select(
@@ -69,7 +77,8 @@ def cart_line_rows(
 
 
 def order_line_candidates(
-    stage: TableReader, fact: DataFrame, dim_product: DataFrame, dim_customer: DataFrame, dim_address: DataFrame
+    stage: TableReader, fact: DataFrame | None, dim_product: DataFrame, dim_customer: DataFrame, dim_address: DataFrame,
+    loaded: DataFrame | None = None,
 ) -> DataFrame:
     """New order lines with the keys found. Customer and address are looked up per order, the product per line."""
     details = stage("sg_order_detail").select(
@@ -84,7 +93,7 @@ def order_line_candidates(
         F.col("total_price_tax_incl").alias("amount_tax_incl"),
         F.col("tax_rate").alias("taxrate"),
     )
-    new = incremental_append(details, fact, ORDER_LINE_KEYS)
+    new = _new(details, "fact_order_line", fact, loaded)
     all_orders = stage("sg_orders").select(
         F.col("id_order").alias("orderid_bk"),
         F.col("id_cart").alias("cartid_bk"),
@@ -110,15 +119,16 @@ def order_line_candidates(
 
 
 def order_line_rows(
-    stage: TableReader, fact: DataFrame, dim_product: DataFrame, dim_customer: DataFrame, dim_address: DataFrame,
-    dim_date: DataFrame, dim_time: DataFrame,
+    stage: TableReader, fact: DataFrame | None, dim_product: DataFrame, dim_customer: DataFrame, dim_address: DataFrame,
+    dim_date: DataFrame, dim_time: DataFrame, loaded: DataFrame | None = None,
 ) -> DataFrame:
-    lines = resolved(order_line_candidates(stage, fact, dim_product, dim_customer, dim_address), REQUIRED)
+    lines = resolved(order_line_candidates(stage, fact, dim_product, dim_customer, dim_address, loaded), REQUIRED)
     return calendar_keys(lines, "date_add", dim_date, dim_time).select(*_layout("fact_order_line", "orderline_key"))
 
 
 def order_history_rows(
-    stage: TableReader, fact: DataFrame, dim_order_state: DataFrame, dim_date: DataFrame, dim_time: DataFrame
+    stage: TableReader, fact: DataFrame | None, dim_order_state: DataFrame, dim_date: DataFrame, dim_time: DataFrame,
+    loaded: DataFrame | None = None,
 ) -> DataFrame:
     """New history rows; an unknown state keeps a missing ``orderstate_sk``."""
     history = stage("sg_order_history").select(
@@ -127,7 +137,7 @@ def order_history_rows(
         F.col("id_order_state").alias("orderstateid_bk"),
         "date_add",
     )
-    new = incremental_append(history, fact, HISTORY_KEYS)
+    new = _new(history, "fact_order_history", fact, loaded)
     new = lookup_key(
         new, dim_order_state, {"orderstateid_bk": "orderstateid_bk"}, "orderstate_key", "orderstate_sk",
         current_only=False, hot_from=history,
@@ -137,16 +147,14 @@ def order_history_rows(
     )
 
 
-def order_rows(fact_order_line: DataFrame, fact_order: DataFrame) -> DataFrame:
+def order_rows(fact_order_line: DataFrame, fact_order: DataFrame | None, loaded: DataFrame | None = None) -> DataFrame:
     """One row per order, customer, address, day and hour for orders not in ``fact_order`` yet.
 
-    Lines are aggregated (combined map-side) before the anti join, which then moves orders instead of lines. After that
-    no order has copies left, so a plain anti join is balanced.
+    Lines are aggregated (combined map-side) before known orders go, so the join moves orders instead of lines.
     """
     keys = ["orderid_bk", "customer_sk", "address_sk", "date_sk", "time_sk"]
     if PARTITION_COLUMN in fact_order_line.columns:
         keys.append(PARTITION_COLUMN)
     largest = ["paid", "paid_tax_incl", "taxrate", "conversion_rate", "paymenttype", "carrier"]
     orders = fact_order_line.groupBy(*keys).agg(*[F.max(c).alias(c) for c in largest])
-    loaded = fact_order.select("orderid_bk").distinct()
-    return orders.join(loaded, "orderid_bk", "left_anti").select(*keys, *largest)
+    return _new(orders, "fact_order", fact_order, loaded).select(*keys, *largest)

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tillwise.operators.calendar import LAST_DAY, date_frame, time_frame
 from tillwise.operators.facts import delete_where
-from tillwise.operators.reconcile import reconcile
 from tillwise.operators.scd import with_new_keys
-from tillwise.plans import dimensions, fact_loads
+from tillwise.plans import dimensions, fact_loads, reconciliation
 from tillwise.plans.audit import ETL_EVENTS, FAILED, REPORT_EVENTS, REPORT_ROWS, SUCCESS, ReportCatalog, RunLog
 from tillwise.plans.catalog import REPORTS, build_report, check_choices
 from tillwise.plans.periods import Period
@@ -271,63 +270,16 @@ def run_report(
     return report_id, export
 
 
-def with_business_keys(dw: Warehouse, fact: DataFrame, **dims: tuple[DataFrame, str, str, str]) -> DataFrame:
-    """Replace surrogate keys by business keys; ``alias=(dimension, key, fact column, business key)``."""
-    for alias, (dim, key, column, bk) in dims.items():
-        fact = fact.join(dim.select(F.col(key).alias(column), F.col(bk).alias(alias)), column, "left")
-    return fact
-
-
 def check_warehouse(stage: TableReader, dw: Warehouse) -> dict[str, DataFrame]:
-    """Mismatches between stage and the four facts, by business key; an empty frame means a clean load."""
-    fol, fo = dw.fact_order_line, dw.fact_order
-    lines = stage("sg_order_detail").join(
-        stage("sg_orders").select(
-            "id_order", "id_cart", "id_customer", F.col("total_paid_tax_excl").alias("paid"),
-            F.col("total_paid_tax_incl").alias("paid_tax_incl"), "conversion_rate",
-            F.nullif(F.col("carrier"), F.lit("")).alias("carrier"), F.col("payment").alias("paymenttype"),
-        ),
-        "id_order",
-    )
-    customer = {"customerid_bk": (dw.dim_customer, "customer_key", "customer_sk", "customerid_bk")}
-    product = {"productid_bk": (dw.dim_product, "product_key", "product_sk", "productid_bk")}
-    order_line_source = lines.select(
-        F.col("id_order").alias("orderid_bk"), F.col("id_order_detail").alias("orderdetailid_bk"),
-        F.col("id_cart").alias("cartid_bk"), F.col("product_id").alias("productid_bk"),
-        F.col("id_customer").alias("customerid_bk"), F.col("product_quantity").alias("quantity"),
-        F.col("unit_price_tax_excl").alias("price"), F.col("unit_price_tax_incl").alias("price_tax_incl"),
-        F.col("total_price_tax_excl").alias("amount"), F.col("total_price_tax_incl").alias("amount_tax_incl"),
-        "paid", "paid_tax_incl", F.col("tax_rate").alias("taxrate"), "conversion_rate", "carrier", "paymenttype",
-    )
-    order_source = order_line_source.groupBy("orderid_bk", "customerid_bk").agg(
-        *[F.max(c).alias(c) for c in ("paid", "paid_tax_incl", "taxrate", "conversion_rate", "paymenttype", "carrier")]
-    )
-    cart_source = (
-        stage("sg_cart_product")
-        .join(stage("sg_cart").select("id_cart", "id_customer"), "id_cart")
-        .select(
-            F.col("id_cart").alias("cartid_bk"), F.col("id_product").alias("productid_bk"),
-            F.col("id_product_attribute").alias("productattributeid_bk"),
-            F.col("id_customer").alias("customerid_bk"), "quantity",
-        )
-    )
-    history_source = stage("sg_order_history").select(
-        F.col("id_order_history").alias("orderhistoryid_bk"), F.col("id_order").alias("orderid_bk"),
-        F.col("id_order_state").alias("orderstateid_bk"),
-    )
-    line_fields = [c for c in order_line_source.columns if c not in ("orderid_bk", "orderdetailid_bk")]
-    order_fields = [c for c in order_source.columns if c not in ("orderid_bk",)]
+    """Mismatches between stage and the four facts, surrogate keys by what they stand for; no row means a clean load."""
+    lines = reconciliation.expected_order_lines(stage, dw)
+    expected = {
+        "fact_cart_line": reconciliation.expected_cart_lines(stage, dw),
+        "fact_order_line": lines,
+        "fact_order_history": reconciliation.expected_history(stage, dw),
+        "fact_order": reconciliation.expected_orders(lines),
+    }
     return {
-        "fact_cart_line": reconcile(
-            cart_source, dw.fact_cart_line,
-            ["cartid_bk", "productid_bk", "productattributeid_bk", "customerid_bk"], ["quantity"],
-        ),
-        "fact_order_line": reconcile(
-            order_line_source, with_business_keys(dw, fol, **customer, **product),
-            ["orderid_bk", "orderdetailid_bk"], line_fields,
-        ),
-        "fact_order_history": reconcile(
-            history_source, dw.fact_order_history, ["orderhistoryid_bk"], ["orderid_bk", "orderstateid_bk"]
-        ),
-        "fact_order": reconcile(order_source, with_business_keys(dw, fo, **customer), ["orderid_bk"], order_fields),
+        name: reconciliation.findings(name, rows, reconciliation.with_meanings(dw, getattr(dw, name)))
+        for name, rows in expected.items()
     }

@@ -61,9 +61,13 @@ def orders_paid(dw: Warehouse, period: Period) -> DataFrame:
 
 
 def summary(dw: Warehouse, period: Period) -> DataFrame:
-    """The six key figures of a period, as one row. Only ``conversion_rate`` is rounded of the two rates."""
-    paid, carts = F.broadcast(orders_paid(dw, period)), F.broadcast(carts_count(dw, period))
-    figures = orders_count(dw, period).crossJoin(paid).crossJoin(carts)
+    """The six key figures of a period, as one row."""
+    return key_figures(orders_count(dw, period), orders_paid(dw, period), carts_count(dw, period))
+
+
+def key_figures(orders: DataFrame, paid: DataFrame, carts: DataFrame) -> DataFrame:
+    """Three one-row counts side by side. Only ``conversion_rate`` is rounded of the two rates."""
+    figures = orders.crossJoin(F.broadcast(paid)).crossJoin(F.broadcast(carts))
 
     def per_cart(count: str) -> Column:
         carts = F.col("carts_count")
@@ -97,15 +101,17 @@ def period_revenue_trend(dw: Warehouse, period: Period) -> DataFrame:
 
 
 def orders_heatmap(dw: Warehouse, period: Period) -> DataFrame:
-    """Median of the daily order counts per day part and weekday; days without an order do not count.
-
-    Orders are first counted per day and hour, so everything after that is bounded by the calendar.
-    """
+    """Median of the daily order counts per day part and weekday; days without an order do not count."""
     counts = (
         dw.within(dw.fact_order.select("date_sk", "time_sk", *_physical(dw.fact_order)), period)
         .groupBy("date_sk", "time_sk")
         .agg(F.count(F.lit(1)).alias("orders"))
     )
+    return heatmap_of(dw, counts)
+
+
+def heatmap_of(dw: Warehouse, counts: DataFrame) -> DataFrame:
+    """The heatmap of order counts per day and hour; everything here is bounded by the calendar."""
     days = F.broadcast(dw.dim_date.select(F.col("date_key").alias("date_sk"), "date", "day_name"))
     hours = F.broadcast(dw.dim_time.select(F.col("time_key").alias("time_sk"), "hour"))
     daily = (
@@ -124,12 +130,16 @@ def orders_heatmap(dw: Warehouse, period: Period) -> DataFrame:
 
 
 def heatmap_matrix(dw: Warehouse, period: Period) -> DataFrame:
-    """The heatmap as 4 day parts by 7 weekdays.
+    """The heatmap as 4 day parts by 7 weekdays."""
+    return matrix_of(orders_heatmap(dw, period))
+
+
+def matrix_of(cells: DataFrame) -> DataFrame:
+    """Heatmap cells as a matrix.
 
     An empty cell is 0 where its day part and its weekday occur at all; a day part or weekday without any order
     is NULL throughout.
     """
-    cells = orders_heatmap(dw, period)
     seen = cells.agg(
         *[F.bool_or(F.col("day_of_week") == d).alias(f"_{d}") for d in WEEKDAYS],
     ).select("*", F.explode(F.array(*[F.lit(p) for p in DAY_PART_ORDER])).alias("time_of_day"))
@@ -171,6 +181,10 @@ def _revenue_by_product(dw: Warehouse, period: Period, attribute: str) -> DataFr
         .groupBy("product_sk")
         .agg(F.sum(_times("amount_tax_incl", F.col("marks"))).alias("revenue"))
     )
+    return revenue_by_attribute(dw, per_product, attribute)
+
+
+def revenue_by_attribute(dw: Warehouse, per_product: DataFrame, attribute: str) -> DataFrame:
     products = dw.dim_product.select(F.col("product_key").alias("product_sk"), attribute)
     return (
         per_product.join(products, "product_sk")
@@ -179,32 +193,29 @@ def _revenue_by_product(dw: Warehouse, period: Period, attribute: str) -> DataFr
     )
 
 
+def best_first(groups: DataFrame, attribute: str) -> DataFrame:
+    return groups.orderBy(F.desc_nulls_first("total_revenue"), F.asc_nulls_last(attribute))
+
+
 def top_manufacturers(dw: Warehouse, period: Period, count: int = TOP_MANUFACTURERS) -> DataFrame:
-    return (
-        _revenue_by_product(dw, period, "manufacturer")
-        .orderBy(F.desc_nulls_first("total_revenue"), F.asc_nulls_last("manufacturer"))
-        .limit(count)
-    )
+    return best_first(_revenue_by_product(dw, period, "manufacturer"), "manufacturer").limit(count)
 
 
 def market_group_revenue(dw: Warehouse, period: Period) -> DataFrame:
-    return _revenue_by_product(dw, period, "market_group").orderBy(
-        F.desc_nulls_first("total_revenue"), F.asc_nulls_last("market_group")
-    )
+    return best_first(_revenue_by_product(dw, period, "market_group"), "market_group")
 
 
 def market_group_share(dw: Warehouse, period: Period) -> DataFrame:
-    """Revenue per market group in whole units and its share of all groups."""
-    groups = _revenue_by_product(dw, period, "market_group").select(
-        "market_group", F.bround("total_revenue", 0).alias("total_revenue")
-    )
+    return share_of(_revenue_by_product(dw, period, "market_group"), "market_group")
+
+
+def share_of(groups: DataFrame, attribute: str) -> DataFrame:
+    """Revenue per group in whole units and its share of all groups."""
+    groups = groups.select(attribute, F.bround("total_revenue", 0).alias("total_revenue"))
     whole = groups.agg(F.sum("total_revenue").alias("_whole"))
     share = F.when(F.col("_whole") != 0, F.col("total_revenue").cast("double") / F.col("_whole").cast("double"))
-    return (
-        groups.crossJoin(F.broadcast(whole))  # one row
-        .select("market_group", "total_revenue", share.alias("share"))
-        .orderBy(F.desc_nulls_first("total_revenue"), F.asc_nulls_last("market_group"))
-    )
+    shares = groups.crossJoin(F.broadcast(whole)).select(attribute, "total_revenue", share.alias("share"))  # one row
+    return best_first(shares, attribute)
 
 
 def gender_distribution(dw: Warehouse, period: Period, labels: dict[str, str] | None = None) -> DataFrame:

@@ -34,6 +34,13 @@ _TAXED = (
 _PRICE = f"CAST(CAST({_CENTS.format('o_totalprice')} AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(20,6))"
 _OPEN = "DATE '9999-12-31'"
 
+
+
+def _batches(select: str, *changes: tuple[int, int]) -> str:
+    """The same rows in several batches, added (1) or withdrawn (0) by each."""
+    return "".join(f"UNION ALL {select.format(batch=batch, added=added)} " for batch, added in changes)
+
+
 INPUTS: dict[str, str] = {
     # Texts that are hard to keep in a CSV file
     "part_texts": """
@@ -274,6 +281,52 @@ INPUTS: dict[str, str] = {
                CASE WHEN o_orderkey % 101 = 0 THEN CAST({_PRICE} + 1 AS DECIMAL(20,6)) ELSE {_PRICE} END AS paid,
                CASE WHEN o_orderkey % 103 = 0 THEN NULL ELSE o_orderpriority END AS carrier
         FROM {{orders}}""",
+    # Facts with wrong surrogate keys planted, one kind after the other
+    "lines_checked": """
+        SELECT l_orderkey AS orderid_bk, l_orderkey * 10 + l_linenumber AS orderdetailid_bk,
+               CASE WHEN l_orderkey % 239 = 0 THEN l_partkey % 100 + 1 ELSE l_partkey END AS product_sk,
+               CAST(l_quantity AS INT) AS quantity
+        FROM {lineitem}""",
+    "orders_checked": """
+        SELECT o_orderkey AS orderid_bk,
+               CASE WHEN o_orderkey % 211 = 0 THEN o_custkey % 50 + 1 ELSE o_custkey END AS customer_sk,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 223 = 0 THEN o_custkey % 50 * 2 + 3
+                    ELSE o_custkey * 2 + 1 END AS address_sk,
+               CAST({order_day} + CASE WHEN o_orderkey % 227 = 0 THEN 1 ELSE 0 END AS BIGINT) AS date_sk,
+               CAST(CASE WHEN o_orderkey % 229 = 0 THEN 5 ELSE 1 END AS BIGINT) AS time_sk
+        FROM {orders}""",
+    "history_checked": """
+        SELECT o_orderkey + 1 AS orderhistoryid_bk, o_orderkey AS orderid_bk, o_orderkey % 40 AS orderstateid_bk,
+               CASE WHEN o_orderkey % 233 = 0 THEN 101
+                    WHEN o_orderkey % 40 < 25 AND o_orderkey % 40 % 7 <> 0 THEN o_orderkey % 40 + 100 END AS orderstate_sk,
+               CAST({order_day} AS BIGINT) AS date_sk, CAST(1 AS BIGINT) AS time_sk
+        FROM {orders}""",
+    # A first load of the facts and what later batches add and withdraw; batch 0 is the first load, and the rest cancels out
+    "order_changes": f"""
+        SELECT CAST(o_orderkey % 3 AS INT) AS batch, 1 AS added, o_orderkey AS orderid_bk, CAST({{order_day}} AS BIGINT) AS date_sk,
+               o_orderkey % 24 + 1 AS time_sk, {_PRICE} AS paid_tax_incl, NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS carrier
+        FROM {{orders}}
+        """ + _batches(f"""
+        SELECT {{batch}} AS batch, {{added}} AS added, o_orderkey AS orderid_bk, CAST({{{{order_day}}}} - 40 AS BIGINT) AS date_sk,
+               o_orderkey % 7 + 1 AS time_sk, {_PRICE} AS paid_tax_incl, 'WRONG' AS carrier
+        FROM {{{{orders}}}} WHERE o_orderkey % 5 = 0""", (0, 1), (3, 0)),
+    "payment_changes": """
+        SELECT CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS batch, 1 AS added, o_orderkey AS orderid_bk,
+               CAST({order_day} + 1 AS BIGINT) AS date_sk, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 18 END AS orderstateid_bk
+        FROM {orders}
+        UNION ALL
+        SELECT 1 AS batch, 1 AS added, o_orderkey AS orderid_bk, CAST({order_day} + 1 AS BIGINT) AS date_sk,
+               CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 3 END AS orderstateid_bk
+        FROM {orders}
+        """ + _batches("""
+        SELECT {batch} AS batch, {added} AS added, o_orderkey AS orderid_bk, CAST({{order_day}} + 9 AS BIGINT) AS date_sk, 2 AS orderstateid_bk
+        FROM {{orders}} WHERE o_orderkey % 6 = 0""", (0, 1), (1, 0), (2, 1), (3, 0)),
+    "line_changes": f"""
+        SELECT CAST(l_partkey % 3 AS INT) AS batch, 1 AS added, l_orderkey AS orderid_bk, l_partkey AS product_sk, {_TAXED} AS amount_tax_incl
+        FROM {{lineitem}}
+        """ + _batches(f"""
+        SELECT {{batch}} AS batch, {{added}} AS added, l_orderkey AS orderid_bk, l_partkey % 20 + 1 AS product_sk, {_TAXED} AS amount_tax_incl
+        FROM {{{{lineitem}}}} WHERE l_linenumber = 2""", (1, 1), (2, 0)),
     "run_events": """
         SELECT CAST(event_id AS STRING) AS id, event_type AS job_name, 'RUNNING' AS status,
                CAST(ts AS TIMESTAMP) AS "at", CAST(NULL AS STRING) AS message, CAST(NULL AS INT) AS tables_processed,

@@ -397,6 +397,91 @@ def _loads() -> dict[str, str]:
     }
 
 
+def _state() -> dict[str, str]:
+    """Queries that answer from kept state have the answers of the facts."""
+    reports = _reports()
+    periods = {
+        "year": "dd.year = 2024", "quarter": "dd.year = 2024 AND dd.quarter = 1", "month": "dd.year = 2024 AND dd.month = 1",
+        "range": "dd.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'", "default": "dd.year = 2024",
+    }
+    carts = " UNION ALL ".join(
+        f"""SELECT '{kind}' AS kind, COUNT(DISTINCT c.cartid_bk) AS carts_count
+            FROM fact_cart_line c JOIN dim_date dd ON dd.date_key = c.date_sk WHERE {condition}"""
+        for kind, condition in periods.items()
+    )
+    known = {"summary": "summary", "period_revenue": "period_revenue", "heatmap": "orders_heatmap", "carrier_revenue": "carrier_revenue",
+             "top_manufacturers": "top_manufacturers"}
+    lines = _ORDER_LINES[: _ORDER_LINES.index("WHERE NOT EXISTS")]  # nothing was loaded before
+    return {f"maintained_{name}": reports[report] for name, report in known.items()} | {
+        "carts_by_period": carts,
+        "warehouse_in_loads": f"""WITH l AS ({lines}), f AS (
+                SELECT l.orderid_bk, l.paid_tax_incl, {_CALENDAR_COLUMNS} FROM l {_CALENDAR.format('l.date_add')}
+                WHERE l.product_sk IS NOT NULL AND l.customer_sk IS NOT NULL),
+            g AS (SELECT orderid_bk, date_month, MAX(paid_tax_incl) AS paid FROM f GROUP BY 1, 2)
+            SELECT date_month, 'fact_order_line' AS fact, COUNT(*) AS rows, COUNT(*) AS keys, CAST(SUM(paid_tax_incl) AS DOUBLE) AS paid
+            FROM f GROUP BY 1
+            UNION ALL
+            SELECT date_month, 'fact_order', COUNT(*), COUNT(*), CAST(SUM(paid) AS DOUBLE) FROM g GROUP BY 1""",
+        "reconcile_surrogates": _surrogates(),
+    }
+
+
+def _reconciled(fact: str, keys: list[str], fields: list[str], expected: str, actual: str) -> tuple[str, str]:
+    """CTEs and SELECTs of the mismatches between two queries with the columns ``keys`` and ``fields``."""
+    columns, key = ", ".join(keys + fields), ", ".join(keys)
+    same = " AND ".join(f"{{0}}.{k} = p.{k}" for k in keys)
+    ctes = f"""{fact}_net AS (
+            SELECT {columns}, SUM(s) AS n FROM (SELECT {columns}, 1 AS s FROM ({expected}) e UNION ALL SELECT {columns}, -1 FROM ({actual}) a)
+            GROUP BY {columns} HAVING SUM(s) <> 0),
+        {fact}_per AS (SELECT {key}, SUM(greatest(n, 0)) AS m, SUM(greatest(-n, 0)) AS u FROM {fact}_net GROUP BY {key})"""
+    parts = [
+        f"""SELECT '{fact}' AS fact, p.{keys[-1]} AS id, 'different' AS status, '{f}' AS field, CAST(e.{f} AS VARCHAR) AS expected,
+                   CAST(a.{f} AS VARCHAR) AS actual, 1 AS rows
+            FROM {fact}_per p JOIN {fact}_net e ON {same.format('e')} AND e.n > 0 JOIN {fact}_net a ON {same.format('a')} AND a.n < 0
+            WHERE p.m = 1 AND p.u = 1 AND e.{f} IS DISTINCT FROM a.{f}"""
+        for f in fields
+    ]
+    parts += [
+        f"SELECT '{fact}', {keys[-1]}, '{status}', NULL, NULL, NULL, {count} FROM {fact}_per WHERE NOT (m = 1 AND u = 1) AND {count} > 0"
+        for status, count in (("missing", "m"), ("unexpected", "u"))
+    ]
+    return ctes, " UNION ALL ".join(parts)
+
+
+def _surrogates() -> str:
+    moment = "LEFT JOIN dim_date dd ON dd.date = CAST({0}.date_add AS DATE)"
+    meaning = "LEFT JOIN dim_date dd ON dd.date_key = f.date_sk LEFT JOIN dim_time t ON t.time_key = f.time_sk"
+    found = [
+        _reconciled(
+            "fact_order_line", ["orderid_bk", "orderdetailid_bk"], ["productid_bk", "productattributeid_bk", "quantity"],
+            """SELECT d.id_order AS orderid_bk, d.id_order_detail AS orderdetailid_bk, d.product_id AS productid_bk,
+                      d.product_attribute_id AS productattributeid_bk, d.product_quantity AS quantity
+               FROM sg_order_detail d JOIN sg_orders o USING (id_order)""",
+            """SELECT f.orderid_bk, f.orderdetailid_bk, p.productid_bk, p.productattributeid_bk, f.quantity
+               FROM lines_checked f LEFT JOIN dim_product p ON p.product_key = f.product_sk""",
+        ),
+        _reconciled(
+            "fact_order", ["orderid_bk"], ["customerid_bk", "addressid_bk", "day", "hour"],
+            f"""SELECT o.id_order AS orderid_bk, o.id_customer AS customerid_bk,
+                      CASE WHEN o.id_address_delivery IN (SELECT addressid_bk FROM address_versions) THEN o.id_address_delivery END AS addressid_bk,
+                      dd.date AS day, hour(o.date_add) AS hour
+               FROM sg_orders o {moment.format('o')} WHERE o.id_order IN (SELECT id_order FROM sg_order_detail)""",
+            f"""SELECT f.orderid_bk, c.customerid_bk, a.addressid_bk, dd.date AS day, t.hour FROM orders_checked f
+               LEFT JOIN dim_customer c ON c.customer_key = f.customer_sk LEFT JOIN address_versions a ON a.address_key = f.address_sk {meaning}""",
+        ),
+        _reconciled(
+            "fact_order_history", ["orderhistoryid_bk"], ["orderid_bk", "stateid", "day", "hour"],
+            f"""SELECT h.id_order_history AS orderhistoryid_bk, h.id_order AS orderid_bk,
+                      CASE WHEN h.id_order_state IN (SELECT orderstateid_bk FROM dim_order_state_before) THEN h.id_order_state END AS stateid,
+                      dd.date AS day, hour(h.date_add) AS hour
+               FROM sg_order_history h {moment.format('h')}""",
+            f"""SELECT f.orderhistoryid_bk, f.orderid_bk, s.orderstateid_bk AS stateid, dd.date AS day, t.hour FROM history_checked f
+               LEFT JOIN dim_order_state_before s ON s.orderstate_key = f.orderstate_sk {meaning}""",
+        ),
+    ]
+    return f"WITH {', '.join(ctes for ctes, _ in found)} {' UNION ALL '.join(select for _, select in found)}"
+
+
 def _operations() -> dict[str, str]:
     fields = ["customerid_bk", "paid", "carrier"]
     different = " UNION ALL ".join(
@@ -477,4 +562,4 @@ def _extracts() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _sql(body) for name, body in (_reports() | _loads() | _operations() | _extracts()).items()}
+    return {name: _sql(body) for name, body in (_reports() | _loads() | _state() | _operations() | _extracts()).items()}

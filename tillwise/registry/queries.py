@@ -6,6 +6,7 @@ import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tillwise.operators.facts import delete_where, rejected
 from tillwise.operators.listing import filtered, page_count, page_rows
 from tillwise.operators.median import exact_median
 from tillwise.operators.reconcile import high_water_mark, reconcile
-from tillwise.plans import dimensions, fact_loads, menus, reports
+from tillwise.plans import cart_days, dimensions, fact_loads, increments, maintained, menus, reconciliation, reports
 from tillwise.plans.audit import json_rows, run_state
 from tillwise.plans.jobs import run_stage, stage_tables
 from tillwise.plans.periods import period
@@ -26,6 +27,7 @@ from tillwise.registry.inputs import CALENDAR_END, CALENDAR_START, spark_input
 from tillwise.session import configure, shared_dir
 from tillwise.sources.csv_export import csv_page, export_csv
 from tillwise.sources.extract import SPECS
+from tillwise.sources.scratch import scratch_folder, written
 from tillwise.sources.store import Store
 
 AS_OF = dt.date(2024, 2, 1)
@@ -161,6 +163,93 @@ def _stage_round_trip(inputs: Inputs) -> DataFrame:
     return stage_tables(store)("sg_order_history")
 
 
+def _carts_by_period(inputs: Inputs) -> DataFrame:
+    """Carts of one period of each kind, all from the same written bitmaps."""
+    dw, state = inputs.warehouse, written(cart_days.cart_days(inputs("fact_cart_line")), "cart-days")
+    kinds = {
+        "year": period("year", "2024", as_of=AS_OF),
+        "quarter": period("quarter", "2024-1", as_of=AS_OF),
+        "month": period("month", "2024-01", as_of=AS_OF),
+        "range": period("range", start="2024-01-05", end="2024-01-20", as_of=AS_OF),
+        "default": period(as_of=AS_OF),
+    }
+    counts = [cart_days.carts_count(state, dw, p).select(F.lit(kind).alias("kind"), "carts_count") for kind, p in kinds.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _changes(inputs: Inputs, batch: int) -> maintained.Facts:
+    """Batch 0 is the first load."""
+
+    def of(name: str) -> DataFrame:
+        rows = inputs(name).filter(F.col("batch") == batch)
+        parts = [rows.filter(F.col("added") == flag).drop("batch", "added") for flag in (1, 0)]
+        return maintained.weighted(*parts)
+
+    return maintained.Facts(of("order_changes"), of("payment_changes"), of("line_changes"))
+
+
+def _maintained(build: Callable[[dict[str, DataFrame], Warehouse], DataFrame], *money: str) -> Query:
+    """A figure of the dashboard from views made at the first load and changed by three batches."""
+
+    def query(inputs: Inputs) -> DataFrame:
+        facts = _changes(inputs, 0)
+        views = {v: written(df, v) for v, df in maintained.loaded(facts).items()}
+        for number in (1, 2, 3):
+            batch = _changes(inputs, number)
+            views = {v: written(df, v) for v, df in maintained.applied(views, maintained.changes(facts, batch)).items()}
+            facts = facts.plus(batch)
+        return cents(build(views, inputs.warehouse), *money)
+
+    return _over(query)
+
+
+def _maintained_summary(views: dict[str, DataFrame], dw: Warehouse) -> DataFrame:
+    carts = cart_days.carts_count(cart_days.cart_days(dw.fact_cart_line), dw, ALL)
+    return maintained.summary(views, carts, dw, ALL)
+
+
+def _warehouse_in_loads(inputs: Inputs) -> DataFrame:
+    """Order lines and orders after three runs: half of the orders, the rest, and nothing new."""
+    tables = increments.Increments(inputs.spark, scratch_folder(inputs.spark, "increments"))
+    names = ("dim_product", "dim_customer", "address_versions")
+    dims = [*map(inputs, names), inputs.dim_date, inputs.dim_time]
+    half = {"sg_orders": "id_order", "sg_order_detail": "id_order"}
+
+    def first(name: str) -> DataFrame:
+        return inputs(name).filter(F.col(half[name]) % 2 == 0)
+
+    for stage in (first, inputs, inputs):
+        increments.load_order_lines(tables, stage, *dims)
+        increments.load_orders(tables)
+    counts = [
+        tables.fact(name).groupBy("date_month").agg(
+            F.lit(name).alias("fact"), F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.sum("paid_tax_incl").alias("paid")
+        )
+        for name, key in (("fact_order_line", "orderline_key"), ("fact_order", "order_key"))
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+def _reconcile_surrogates(inputs: Inputs) -> DataFrame:
+    """Wrong product, variant, customer, address, state, day and hour keys, by what they should stand for."""
+    tables = {"dim_address": "address_versions", "dim_order_state": "dim_order_state_before"}
+    generated = {"dim_date": lambda: inputs.dim_date, "dim_time": lambda: inputs.dim_time}
+    dw = Warehouse(lambda name: generated[name]() if name in generated else inputs(tables.get(name, name)), CALENDAR_START)
+    lines = reconciliation.expected_order_lines(inputs, dw)
+    orders = lines.select("orderid_bk", "customerid_bk", "addressid_bk", "day", "hour").distinct()
+    checked = [
+        ("fact_order_line", lines, "lines_checked", ["productid_bk", "productattributeid_bk", "quantity"]),
+        ("fact_order", orders, "orders_checked", ["customerid_bk", "addressid_bk", "day", "hour"]),
+        ("fact_order_history", reconciliation.expected_history(inputs, dw), "history_checked", ["orderid_bk", "stateid", "day", "hour"]),
+    ]
+    found = []
+    for fact, expected, actual, fields in checked:
+        rows = reconciliation.findings(fact, expected, reconciliation.with_meanings(dw, inputs(actual)), fields)
+        key = reconciliation.FIELDS[fact][0][-1]
+        found.append(rows.select(F.lit(fact).alias("fact"), F.col(key).alias("id"), "status", "field", "expected", "actual", "rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
 _RUN_FILTERS = [("job_name", "like", "c"), ("tables_processed", ">", 2), ("id", "<=", 5000)]
 
 
@@ -212,6 +301,13 @@ def queries() -> dict[str, Query]:
             lambda i: json_rows(reports.gender_distribution(i.warehouse, YEAR), "report 1").drop("position")
         ),
         "stage_round_trip": _over(_stage_round_trip),
+        # Kept state instead of facts: bitmaps of carts per day, sums changed by batches
+        "carts_by_period": _over(_carts_by_period),
+        "maintained_summary": _maintained(_maintained_summary, "conversion_rate_paid"),
+        "maintained_period_revenue": _maintained(lambda v, dw: maintained.period_revenue(v, dw, YEAR), "total_revenue"),
+        "maintained_heatmap": _maintained(lambda v, dw: maintained.orders_heatmap(v, dw, ALL)),
+        "maintained_carrier_revenue": _maintained(lambda v, dw: maintained.carrier_revenue(v, dw, YEAR), "total_revenue"),
+        "maintained_top_manufacturers": _maintained(lambda v, dw: maintained.top_manufacturers(v, dw, ALL), "total_revenue"),
         # Dimension, bridge and fact loads
         "calendar_days": _over(_calendar_days),
         "calendar_hours": _over(_calendar_hours),
@@ -227,6 +323,7 @@ def queries() -> dict[str, Query]:
         "fact_order_line_load": _over(_order_lines),
         "rejected_order_lines": _over(_rejected_order_lines),
         "fact_order_history_load": _over(_order_history),
+        "warehouse_in_loads": _over(_warehouse_in_loads),
         "fact_order_load": _over(lambda i: fact_loads.order_rows(i("order_lines_loaded"), i("orders_before"))),
         # Audit, listings, reconciliation, deletion
         "run_audit": _over(lambda i: run_state(i("run_events"))),
@@ -241,6 +338,7 @@ def queries() -> dict[str, Query]:
                 i("orders_expected"), i("orders_actual"), ["orderid_bk"], ["customerid_bk", "paid", "carrier"]
             ).drop("expected", "actual")
         ),
+        "reconcile_surrogates": _over(_reconcile_surrogates),
         "high_water_mark": _over(lambda i: high_water_mark(i("sg_order_detail"), "id_order_detail")),
         "delete_orders": _over(
             lambda i: delete_where(i("orders_expected"), F.col("carrier").startswith("1") | (F.col("paid") > 300000))
