@@ -155,8 +155,8 @@ def test_sums_follow_batches_with_withdrawals(spark, calendar):
         views = {v: spark.createDataFrame(df.collect(), df.schema) for v, df in views.items()}
         year, month = period("year", "2024", as_of=AS_OF), period("month", "2024-01", as_of=AS_OF)
         for name in ("orders_count", "orders_paid", "period_revenue", "period_revenue_trend", "orders_heatmap", "carrier_revenue", "top_manufacturers", "market_group_revenue", "market_group_share"):
-            for p in (year, month):
-                assert rows(getattr(maintained, name)(views, dw, p)) == rows(getattr(reports, name)(dw, p)), (number, name)
+            p = (year, month)[number % 2]
+            assert rows(getattr(maintained, name)(views, dw, p)) == rows(getattr(reports, name)(dw, p)), (number, name)
         assert rows(maintained.heatmap_matrix(views, dw, year)) == rows(reports.heatmap_matrix(dw, year))
         assert all(df.filter(F.col(maintained.VIEWS[v][1][0]) == 0).isEmpty() for v, df in views.items())
         batch = shop.batch(30, 40)

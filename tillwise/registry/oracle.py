@@ -504,6 +504,17 @@ def _operations() -> dict[str, str]:
             FROM run_list WHERE {runs}""",
         "report_listing": "SELECT * FROM report_list WHERE user_id = 8 ORDER BY id DESC LIMIT 5 OFFSET 5",
         "user_listing": "SELECT * FROM user_list WHERE role = 1 ORDER BY last_name DESC, id DESC LIMIT 15",
+        "run_listing_deep": """WITH n AS (SELECT COUNT(*) AS total FROM run_list),
+            r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY job_name, id DESC) AS place FROM run_list)
+            SELECT id, job_name, task_id, status, tables_processed, 'middle' AS page, CAST(ceil(total / 10.0) AS BIGINT) AS last_page
+            FROM r, n WHERE place BETWEEN ((total + 1) // 2 // 10 - 1) * 10 + 1 AND (total + 1) // 2 // 10 * 10
+            UNION ALL
+            SELECT id, job_name, task_id, status, tables_processed, 'last', CAST(ceil(total / 10.0) AS BIGINT)
+            FROM r, n WHERE place > (ceil(total / 10.0) - 1) * 10""",
+        "indexed_user_search": " UNION ALL ".join(
+            f"SELECT id, email, role, last_name, active, '{value}' AS pattern FROM user_list WHERE email LIKE '%{value}%'"
+            for value in ("7", "12", "r11", "99@shop", "er1_5@", "user%0@shop.test", "nobody")
+        ),
         "reconcile_orders": f"""{different}
             UNION ALL SELECT orderid_bk, 'missing', NULL, 1 FROM orders_expected e
             WHERE orderid_bk NOT IN (SELECT orderid_bk FROM orders_actual)

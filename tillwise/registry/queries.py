@@ -17,7 +17,9 @@ from tillwise.operators.calendar import date_frame, date_frame_between, time_fra
 from tillwise.operators.facts import delete_where, rejected
 from tillwise.operators.listing import filtered, page_count, page_rows
 from tillwise.operators.median import exact_median
+from tillwise.operators.paging import page_index, seek_page
 from tillwise.operators.reconcile import high_water_mark, reconcile
+from tillwise.operators.text_index import like_rows, text_index
 from tillwise.plans import cart_days, dimensions, fact_loads, increments, maintained, menus, reconciliation, reports
 from tillwise.plans.audit import json_rows, run_state
 from tillwise.plans.jobs import run_stage, stage_tables
@@ -250,6 +252,27 @@ def _reconcile_surrogates(inputs: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _deep_pages(inputs: Inputs) -> DataFrame:
+    """A page from the middle of the run listing and the last one, by one index."""
+    runs = inputs("run_list")
+    index = page_index(runs, "job_name", "asc", block_rows=500)
+    middle = -(-index.total_rows // 2) // 10
+    found = []
+    for name, page in (("middle", middle), ("last", -(-index.total_rows // 10))):
+        rows, last = seek_page(runs, index, page, 10)
+        found.append(rows.withColumn("page", F.lit(name)).withColumn("last_page", F.lit(last).cast("long")))
+    return found[0].unionByName(found[1])
+
+
+def _indexed_search(inputs: Inputs) -> DataFrame:
+    """Listings by text through the index of three-letter pieces."""
+    users = inputs("user_list")
+    index = written(text_index(users, "email"), "text-index")
+    parts = [like_rows(users, index, "email", value).withColumn("pattern", F.lit(value)) for value in _PATTERNS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PATTERNS = ("7", "12", "r11", "99@shop", "er1_5@", "user%0@shop.test", "nobody")
 _RUN_FILTERS = [("job_name", "like", "c"), ("tables_processed", ">", 2), ("id", "<=", 5000)]
 
 
@@ -333,6 +356,8 @@ def queries() -> dict[str, Query]:
         "user_listing": _over(
             lambda i: page_rows(filtered(i("user_list"), [("role", "=", 1)]), "last_name", "desc", 1, 15)
         ),
+        "run_listing_deep": _over(_deep_pages),
+        "indexed_user_search": _over(_indexed_search),
         "reconcile_orders": _over(
             lambda i: reconcile(
                 i("orders_expected"), i("orders_actual"), ["orderid_bk"], ["customerid_bk", "paid", "carrier"]

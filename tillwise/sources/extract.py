@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from pyspark.sql import types as T
 
 from tillwise.functions.cleanse import cleanse, stage_schema
 from tillwise.operators.joins import fanout_left_join
-from tillwise.sources.readers import TableReader
+
+if TYPE_CHECKING:
+    from tillwise.sources.readers import TableReader
 
 
 @dataclass(frozen=True)
