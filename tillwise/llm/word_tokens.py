@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words a worker remembers before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 # The tokenizer's own pre-token pattern.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
