@@ -200,9 +200,8 @@ SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up USING (wo
 def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = stored(minhash.fingerprints(docs), "fingerprints")
-    copies = minhash.near_copies(docs, found).withColumnRenamed("id", "doc_id")
-    joined = found.withColumnRenamed("id", "doc_id").join(copies.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return joined.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    joined = found.join(minhash.near_copies(docs, found), "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).withColumnRenamed("id", "doc_id")
+    return joined.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

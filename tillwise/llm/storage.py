@@ -60,8 +60,9 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     bitmap = bits.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     word, bit = places()
     passed = df.join(F.broadcast(bitmap), word == F.col("__word")).filter(F.getbit("__bits", bit) == 1).select(df.columns)
+    # Not a semi join: the optimizer would do that first, and then all wide rows travel.
     wanted = ids.select(F.col(column).alias("__id")).distinct()
-    return passed.join(wanted, F.col(column).eqNullSafe(F.col("__id")), "left_semi")
+    return passed.join(wanted, F.col(column).eqNullSafe(F.col("__id"))).select(df.columns)
 
 
 def plain_names(df: DataFrame) -> DataFrame:
