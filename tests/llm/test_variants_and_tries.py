@@ -262,3 +262,21 @@ def test_splitters_cut_equal_paths(spark):
     cuts = prefix_trie._splitters(paths)
     assert len(cuts) > 5 and all(len(keys) == 3 and conv >= 0 for keys, conv in cuts)
     assert [r["n_convs"] for r in prefix_trie.trie(paths).collect()] == [900] * 4
+
+
+# Names that operators of the pipeline use inside
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from tillwise.llm import jaccard_join, line_crf
+
+    prepared(spark)
+    names = ["__s1", "__s2", "__id", "__k1", "__quality", "quality", "s1", "s2", "id", "k1", "row", "c0", "text2"]
+    base = prose(8, 120)
+    docs = [(1, base), (2, base + " more"), (3, None), (4, prose(9, 80)), (None, "x y")]
+    table = spark.createDataFrame([(i, t, *range(len(names))) for i, t in docs], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = jaccard_join.deduplicate(table)
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, None}
+    assert {tuple(r)[2:] for r in kept.collect()} == {tuple(range(len(names)))}
+    labels = spark.createDataFrame([(1, 1, 5), (4, 0, 5)], "doc_id long, quality int, text int")
+    assert line_crf.fit(table, labels) is not None

@@ -303,7 +303,7 @@ def similar_documents(
 
 
 def _signed(alike: Alike, text_at: int, schema: T.StructType):
-    names = [*schema.names, "__s1", "__s2"]
+    names = [*schema.names, "s1", "s2"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in source:
@@ -322,10 +322,12 @@ def deduplicate(docs: DataFrame, alike: Alike = Alike(), id_col: str = "doc_id",
     """One row of each component, the one with the smallest id, with all its columns; texts without words all stay."""
     found = similar_documents(docs, alike, id_col, text_col)
     keep = found.filter(F.col("stays") & F.col("s1").isNotNull()).filter(F.col("row") == F.col("v")).select(
-        F.col("doc_id").alias("__id"), F.col("s1").alias("__k1"), F.col("s2").alias("__k2")
+        F.col("doc_id").alias("id"), F.col("s1").alias("k1"), F.col("s2").alias("k2")
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField("__s1", T.LongType()), T.StructField("__s2", T.LongType())])
-    signed = plain_names(docs).mapInArrow(_signed(alike, docs.columns.index(text_col), docs.schema), schema)
-    same = (F.col("__s1") == F.col("__k1")) & (F.col("__s2") == F.col("__k2")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    chosen = signed.join(keep, same, "left_semi").dropDuplicates(["__s1", "__s2"])
-    return chosen.unionByName(signed.filter(F.col("__s1").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = plain_names(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    signed = plain.mapInArrow(_signed(alike, docs.columns.index(text_col), plain.schema), schema)
+    ident = F.col(plain.columns[docs.columns.index(id_col)]).cast("long")
+    same = (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & ident.eqNullSafe(F.col("id"))
+    chosen = signed.join(keep, same, "left_semi").dropDuplicates(["s1", "s2"])
+    return chosen.unionByName(signed.filter(F.col("s1").isNull())).select(plain.columns).toDF(*docs.columns)

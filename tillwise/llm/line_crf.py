@@ -232,9 +232,10 @@ def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """The field trained on at most TRAINING_DOCS documents of ``labels`` (``doc_id``, ``quality``)."""
-    usable = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality")).dropna()
-    chosen = usable.orderBy(F.xxhash64("__id"), "__id", "__quality").limit(TRAINING_DOCS).dropDuplicates(["__id"])
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__quality", F.col(text_col).alias("text"))
+    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
+    chosen = usable.orderBy(F.xxhash64("id"), "id", "quality").limit(TRAINING_DOCS).dropDuplicates(["id"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").select("quality", "text")
     found = sample.mapInArrow(_sample_features, "quality int, features binary").toPandas()
     found = found.sort_values(["quality", "features"], ignore_index=True)
     chains = [np.frombuffer(f, "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for f in found["features"]]
