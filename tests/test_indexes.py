@@ -47,10 +47,10 @@ def test_pages_of_nothing(spark):
 
 def test_searches_find_what_the_filter_finds(spark):
     rng = random.Random(9)
-    texts = ["".join(rng.choice("abé_%\\") for _ in range(rng.randint(0, 30))) for _ in range(700)] + [None, "", "ab"]
+    texts = ["".join(rng.choice("ab" * 8 + "é_%") for _ in range(rng.randint(0, 30))) for _ in range(700)] + [None, "", "ab"]
     table = spark.createDataFrame([(k * 97 - 5000, t) for k, t in enumerate(texts)], "id long, text string")
     index = text_index(table, "text").cache()
-    source = next(t for t in texts if len(t or "") > 25 and "\\" not in t)
+    source = next(t for t in texts if len(t or "") > 25)
     for size in range(1, 21):
         value = source[2 : 2 + size]
         assert rows(like_rows(table, index, "text", value), "id") == rows(filtered(table, [("text", "like", value)]), "id"), value

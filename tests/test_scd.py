@@ -89,3 +89,40 @@ def test_scd1_overwrites_in_place(spark):
     assert rows(scd1_upsert(stage, dim, ["bk"], ["name", "grp"], "key"), "bk") == [
         (1, 10, "a", "g"), (2, 20, "bb", None), (3, 30, "c", None), (None, 40, "d", "h")
     ]
+
+
+def test_a_bucketed_dimension_stays_where_it_is(spark, tmp_path):
+    from tillwise.plans import dimension_layout as layout
+    from tillwise.plans.dimensions import ORDER_STATE
+    from tillwise.schemas import OPEN_END, WAREHOUSE
+
+    old = [(k + 100, k, f"state {k}", dt.date(2000, 1, 1), OPEN_END) for k in range(200)]
+    dim = spark.createDataFrame(old, WAREHOUSE["dim_order_state"])
+    stage = {"sg_order_state": spark.createDataFrame([(k, f"state {k}" if k % 9 else "new name") for k in range(50, 230)], "id_order_state long, name string")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layout.save_current(dim, "states_in_buckets", ORDER_STATE, 6, str(tmp_path / "states"))
+        assert layout.buckets_of(spark, "states_in_buckets") == 6
+        got = layout.step(ORDER_STATE, stage.__getitem__, "states_in_buckets", dt.date(2024, 2, 1), spark)
+        expected = ORDER_STATE.step(stage.__getitem__, dim, dt.date(2024, 2, 1))
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS states_in_buckets")
+    # Only the stage rows are dealt.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
+
+
+def test_versions_that_ended_before_a_period_are_not_opened(spark, tmp_path):
+    from tillwise.plans import dimension_layout as layout
+    from tillwise.plans.periods import period
+
+    versions = [(k, dt.date(2000 + k % 20, 1, 1), dt.date(2001 + k % 20 + k % 3, 6, 30) if k % 4 else dt.date(9999, 12, 31)) for k in range(300)]
+    table = spark.createDataFrame(versions, "customer_key long, valid_from date, valid_to date")
+    layout.save_versions(table, str(tmp_path / "v"))
+    kept = spark.read.parquet(str(tmp_path / "v"))
+    for p in (period("year", "2010", as_of=dt.date(2024, 1, 1)), period("month", "2021-06", as_of=dt.date(2024, 1, 1))):
+        got = layout.valid_in(kept, p)
+        assert {r["customer_key"] for r in got.collect()} == {r["customer_key"] for r in table.filter(p.overlaps()).collect()}
+        assert "PartitionFilters: [isnotnull(end_year" in got._jdf.queryExecution().executedPlan().toString()

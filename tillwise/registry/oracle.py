@@ -414,6 +414,8 @@ def _state() -> dict[str, str]:
     lines = _ORDER_LINES[: _ORDER_LINES.index("WHERE NOT EXISTS")]  # nothing was loaded before
     return {f"maintained_{name}": reports[report] for name, report in known.items()} | {
         "carts_by_period": carts,
+        "dim_product_bucketed_load": _loads()["dim_product_load"],
+        "gender_by_end_year": _gender(_MONTH, "COALESCE(c.gender, 'Neuvedené')"),
         "warehouse_in_loads": f"""WITH l AS ({lines}), f AS (
                 SELECT l.orderid_bk, l.paid_tax_incl, {_CALENDAR_COLUMNS} FROM l {_CALENDAR.format('l.date_add')}
                 WHERE l.product_sk IS NOT NULL AND l.customer_sk IS NOT NULL),

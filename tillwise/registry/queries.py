@@ -20,12 +20,13 @@ from tillwise.operators.median import exact_median
 from tillwise.operators.paging import page_index, seek_page
 from tillwise.operators.reconcile import high_water_mark, reconcile
 from tillwise.operators.text_index import like_rows, text_index
-from tillwise.plans import cart_days, dimensions, fact_loads, increments, maintained, menus, reconciliation, reports
+from tillwise.plans import cart_days, dimension_layout, dimensions, fact_loads, increments, maintained, menus, reconciliation, reports
 from tillwise.plans.audit import json_rows, run_state
 from tillwise.plans.jobs import run_stage, stage_tables
 from tillwise.plans.periods import period
 from tillwise.plans.warehouse import Warehouse
 from tillwise.registry.inputs import CALENDAR_END, CALENDAR_START, spark_input
+from tillwise.schemas import OPEN_END
 from tillwise.session import configure, shared_dir
 from tillwise.sources.csv_export import csv_page, export_csv
 from tillwise.sources.extract import SPECS
@@ -144,6 +145,28 @@ def _scd2(dimension: dimensions.Dimension) -> Query:
     return _over(lambda inputs: dimension.merged(inputs, inputs(f"{dimension.name}_before"), AS_OF))
 
 
+def _bucketed_load(dimension: dimensions.Dimension) -> Query:
+    """The load of a dimension whose current rows lie in sorted buckets and whose versions lie by end year."""
+
+    def query(inputs: Inputs) -> DataFrame:
+        spark, table = inputs.spark, f"{dimension.name}_{uuid.uuid4().hex}"
+        before = inputs(f"{dimension.name}_before")
+        dimension_layout.save_current(before, table, dimension, 8, scratch_folder(spark, table))
+        rows = written(dimension_layout.step(dimension, inputs, table, AS_OF, spark), dimension.name)
+        spark.sql(f"DROP TABLE {table}")
+        return before.filter(F.col("valid_to") != F.lit(OPEN_END)).unionByName(rows)
+
+    return _over(query)
+
+
+def _versions_by_year(inputs: Inputs) -> DataFrame:
+    """Customers per gender from versions kept by the year they end."""
+    path = scratch_folder(inputs.spark, "dim-customer")
+    dimension_layout.save_versions(inputs("dim_customer"), path)
+    valid = dimension_layout.valid_in(inputs.spark.read.parquet(path), MONTH)
+    return reports.gender_distribution(Warehouse({"dim_customer": valid}.__getitem__), MONTH)
+
+
 def _csv_page(inputs: Inputs) -> DataFrame:
     order = [F.desc_nulls_first("total_spent"), F.asc("customer_id")]
     rows = reports.customers_above_median(inputs.warehouse, ALL)
@@ -337,6 +360,8 @@ def queries() -> dict[str, Query]:
         "dim_address_load": _scd2(dimensions.ADDRESS),
         "dim_customer_load": _scd2(dimensions.CUSTOMER),
         "dim_product_load": _scd2(dimensions.PRODUCT),
+        "dim_product_bucketed_load": _bucketed_load(dimensions.PRODUCT),
+        "gender_by_end_year": _over(_versions_by_year),
         "dim_order_state_load": _scd2(dimensions.ORDER_STATE),
         "dim_attribute_load": _over(lambda i: dimensions.attributes_merged(i, i("dim_attribute_before"))),
         "bridge_load": _over(
