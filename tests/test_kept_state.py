@@ -163,6 +163,18 @@ def test_sums_follow_batches_with_withdrawals(spark, calendar):
         views, facts = maintained.applied(views, maintained.changes(facts, batch)), facts.plus(batch)
 
 
+def test_views_of_one_figure_alone(spark, calendar):
+    """A figure needs no other views than its own, and none is made."""
+    shop = Changing(spark, 7)
+    first, batch = shop.batch(60, 0), shop.batch(20, 30)
+    every = maintained.applied(maintained.loaded(first), maintained.changes(first, batch))
+    for view in maintained.VIEWS:
+        alone = maintained.loaded(first, [view])
+        alone = maintained.applied(alone, maintained.changes(first, batch, [view]))
+        assert list(alone) == [view]
+        assert Counter(rows(alone[view])) == Counter(rows(every[view]))
+
+
 def test_withdrawing_everything_leaves_nothing(spark):
     shop = Changing(spark, 6)
     first = shop.batch(40, 0)

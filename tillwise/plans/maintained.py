@@ -15,6 +15,7 @@ those of its period and joins no fact.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,8 +92,8 @@ def _line_payments(lines: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.select(F.col("paid_day").alias("date_sk"), "product_sk", net.alias("pairs"), _times("amount_tax_incl", net).alias("revenue"))
 
 
-def changes(before: Facts, batch: Facts) -> dict[str, DataFrame]:
-    """What a batch changes in each view: the batch's orders and lines with the marks there were, and all orders and lines
+def changes(before: Facts, batch: Facts, wanted: Iterable[str] = VIEWS) -> dict[str, DataFrame]:
+    """What a batch changes in each of the wanted views: the batch's orders and lines with the marks there were, and all orders and lines
     there are now with the batch's marks."""
     after, old, new = before.plus(batch), _marks(before.history), _marks(batch.history)
     paid = _order_payments(batch.orders, old).unionByName(_order_payments(after.orders, new))
@@ -104,7 +105,7 @@ def changes(before: Facts, batch: Facts) -> dict[str, DataFrame]:
         "paid_per_day_carrier": by_payment,
         "paid_per_day_product": by_line,
     }
-    return {view: _summed(df, view) for view, df in rows.items()}
+    return {view: _summed(rows[view], view) for view in wanted}
 
 
 def applied(views: dict[str, DataFrame], change: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -112,14 +113,14 @@ def applied(views: dict[str, DataFrame], change: dict[str, DataFrame]) -> dict[s
 
     In a change, a count of 0 says nothing: one row may have come for another. In a view, no row is left behind it.
     """
-    after = {view: _summed(views[view].unionByName(change[view]), view) for view in VIEWS}
+    after = {view: _summed(df.unionByName(change[view]), view) for view, df in views.items()}
     return {view: df.filter(F.col(VIEWS[view][1][0]) != 0) for view, df in after.items()}
 
 
-def loaded(first: Facts) -> dict[str, DataFrame]:
-    """The views of a first load."""
+def loaded(first: Facts, wanted: Iterable[str] = VIEWS) -> dict[str, DataFrame]:
+    """The wanted views of a first load."""
     nothing = Facts(*[getattr(first, n).limit(0) for n, _ in _TABLES])
-    made = changes(nothing, first)
+    made = changes(nothing, first, wanted)
     return applied({view: df.limit(0) for view, df in made.items()}, made)
 
 
