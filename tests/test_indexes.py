@@ -98,3 +98,13 @@ def test_parts_of_odd_samples():
 def test_every_table_with_an_id_is_split():
     columns = split_columns({"ps_orders": "id_cart"})
     assert columns["ps_orders"] == "id_cart" and columns["ps_cart"] == "id_cart" and columns["ps_order_carrier"] == JOINED_IDS["ps_order_carrier"]
+
+
+def test_a_task_of_the_text_index_holds_few_rows(spark):
+    """Rows are dealt out by bucket before they are cut into pieces, so that no task cuts a whole large table."""
+    many = spark.range(0, 400_000, 1, 1).select("id", F.concat(F.lit("user"), "id").alias("text"))
+    index = text_index(many, "text")
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    cut = index.select(F.spark_partition_id().alias("task"), "id_bucket").distinct().collect()
+    assert len({r["task"] for r in cut}) > 1 and len(cut) == len({r["id_bucket"] for r in cut}) == 14

@@ -12,18 +12,26 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.operators.id_bitmaps import BITS, BUCKET, id_bitmaps, is_set
+from tillwise.operators.id_bitmaps import BITS, BUCKET, is_set
 from tillwise.operators.listing import COMPARISONS
 
 GRAM = 3
+#: Rows that a task cuts into pieces, about; a bucket of ids stays in one task.
+TASK_ROWS = 1 << 17
 
 
 def text_index(df: DataFrame, field: str, id_field: str = "id") -> DataFrame:
-    """(gram, id_bucket, id_bits): all pieces of the texts of ``field``, by whole-number ids."""
-    text = F.col(field).cast("string")
-    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1))
-    pieces = F.array_distinct(F.transform(places, lambda k: F.substr(text, k, F.lit(GRAM))))
-    return id_bitmaps(df.select(F.col(id_field).alias("id"), F.explode(pieces).alias("gram")), "id", "gram")
+    """(gram, id_bucket, id_bits): all pieces of the texts of ``field``, by whole-number ids.
+
+    Rows are dealt out by bucket before they are cut, to as many tasks as there are rows for. So pieces and bitmaps never
+    travel, and what a task holds doesn't grow with the table.
+    """
+    ids, text = F.col(id_field).cast("long"), F.col(field).cast("string")
+    rows = df.filter(ids.isNotNull() & (F.length(text) >= GRAM)).select(F.bitmap_bucket_number(ids).alias(BUCKET), F.bitmap_bit_position(ids).alias("_place"), text.alias("_text"))
+    dealt = rows.repartition(max(1, rows.count() // TASK_ROWS), BUCKET)
+    places = F.sequence(F.lit(1), F.length("_text") - GRAM + 1)
+    pieces = F.array_distinct(F.transform(places, lambda k: F.substr("_text", k, F.lit(GRAM))))
+    return dealt.select(BUCKET, "_place", F.explode(pieces).alias("gram")).groupBy("gram", BUCKET).agg(F.bitmap_construct_agg("_place").alias(BITS))
 
 
 def grams_of(value: str) -> list[str]:
