@@ -384,3 +384,23 @@ def test_payments_are_compared_before_the_fan_out(spark):
     assert found == Counter([(1, 7), (1, 8), (2, 7), (2, 8), (3, 7), (3, 8), (3, 0), (4, 0), (5, 0), (6, 7), (6, 0)])
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_wide_rows_are_compared_behind_the_shuffle(spark):
+    """Repeated lines go, a line taxed twice stays twice, and no scan holds lines or orders to compare them."""
+    from tillwise.sources.extract import SPECS
+
+    shop = Shop(spark)
+    line, order = shop.tables["ps_order_detail"][0], shop.tables["ps_orders"][0]
+    shop.tables = shop.tables | {
+        "ps_order_detail": [line, line, line | {"id_order_detail": 12}, line | {"id_order_detail": 12, "product_quantity": 2}],
+        "ps_order_detail_tax": [dict(id_order_detail=11, id_tax=20), dict(id_order_detail=11, id_tax=20), dict(id_order_detail=11, id_tax=21)],
+        "ps_orders": [order, order],
+    }
+    lines, orders = (SPECS[t].apply(shop) for t in ("sg_order_detail", "sg_orders"))
+    assert rows(lines.select("id_order_detail", "tax_rate"), "id_order_detail", "tax_rate") == [(11, D("0")), (11, D("20")), (12, D("0")), (12, D("0"))]
+    assert rows(orders.select("id_order", "carrier")) == [(1, "Packeta")]
+    for made in (lines, orders):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        wide = plan[plan.index("Aggregate") :]
+        assert "RepartitionByExpression" in wide.splitlines()[1]

@@ -21,6 +21,10 @@ if TYPE_CHECKING:
     from tillwise.sources.readers import TableReader
 
 
+#: Rows that a task compares, about.
+TASK_ROWS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Extract:
     source: str
@@ -65,16 +69,19 @@ def orders_with_carrier(read: TableReader) -> DataFrame:
     """
     carriers = read("ps_carrier").select("id_carrier", F.col("name").alias("carrier"))
     shipped = read("ps_order_carrier").select("id_order", "id_carrier").join(carriers, "id_carrier", "left")
-    names = shipped.select("id_order", "carrier").distinct()
-    return fanout_left_join(_own(read, "sg_orders", ["carrier"], []).distinct(), names, ["id_order"])
+    sources = [read("ps_order_carrier"), read("ps_orders")]
+    names = _distinct_by(shipped.select("id_order", "carrier"), "id_order", sources)
+    orders = _distinct_by(_own(read, "sg_orders", ["carrier"], []), "id_order", sources)
+    return fanout_left_join(orders, names, ["id_order"])
 
 
 def order_lines_with_tax(read: TableReader) -> DataFrame:
     """A line taxed twice yields two rows; only exact repeats are removed, before the join as above."""
     taxes = read("ps_tax").select("id_tax", F.col("rate").alias("tax_rate"), F.col("name").alias("tax_name"))
     taxed = read("ps_order_detail_tax").select("id_order_detail", "id_tax").join(taxes, "id_tax", "left")
-    rates = taxed.select("id_order_detail", "tax_rate", "tax_name").distinct()
-    lines = _own(read, "sg_order_detail", ["tax_rate", "tax_name"], []).distinct()
+    sources = [read("ps_order_detail_tax"), read("ps_order_detail")]
+    rates = _distinct_by(taxed.select("id_order_detail", "tax_rate", "tax_name"), "id_order_detail", sources)
+    lines = _distinct_by(_own(read, "sg_order_detail", ["tax_rate", "tax_name"], []), "id_order_detail", sources)
     return fanout_left_join(lines, rates, ["id_order_detail"])
 
 
@@ -96,6 +103,17 @@ def payments_with_order(read: TableReader) -> DataFrame:
     return once.unionByName(cleanse(repeated, SPECS[target].columns))
 
 
+def _distinct_by(df: DataFrame, key: str, sources: list[DataFrame]) -> DataFrame:
+    """Distinct rows, compared where a join by ``key`` wants them: scans hold no rows, and the wide rows travel once.
+
+    Where the rows of the largest of ``sources`` are many for the session's shuffle partitions, there are more of them, so that what a task
+    holds doesn't grow with the table.
+    """
+    many = max(source.count() for source in sources) // TASK_ROWS
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartition(many, key) if many > usual else df.repartition(key)).distinct()
+
+
 def _distinct(df: DataFrame, target: str) -> DataFrame:
     return df.select(*[f"`{name}`" for name in SPECS[target].columns]).distinct()
 
