@@ -169,6 +169,24 @@ def test_near_copies_of_a_large_group(spark):
     assert minhash.near_copies(nothing, minhash.fingerprints(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("hot, part", [(1, 2048), (3, 2048), (3, 4)])
+def test_near_copies_of_many_kinds_in_one_band(spark, monkeypatch, hot, part):
+    """Seven kinds of near copies that share ``hot`` bands only; every pair but the first meets behind another's smallest."""
+    monkeypatch.setattr(minhash, "PART", part, raising=False)
+    docs, marks, rng = [], [], random.Random(9)
+    common = rng.randbytes(hot * minhash.PLACES)
+    for kind in range(7):
+        text, own = prose(200 + kind, 200), rng.randbytes(minhash.PERMUTATIONS - len(common))
+        for copy in range(3):
+            print_ = bytearray(common + own)
+            for band in range(hot, minhash.BANDS):
+                print_[band * minhash.PLACES + copy] ^= (copy > 0)
+            docs.append((10 * kind + copy, text + " and one end" * copy))
+            marks.append((10 * kind + copy, bytes(print_)))
+    table = spark.createDataFrame(marks, "id long, fingerprint binary").repartition(3)
+    assert classes(minhash.near_copies(frame(spark, docs), table)) == {10 * k: {10 * k, 10 * k + 1, 10 * k + 2} for k in range(7)}
+
+
 @needs_tables
 def test_near_copies_against_all_pairs(spark):
     docs = {r["doc_id"]: shingle_set(r["text"]) for r in read_table(spark, SF_DIR, "documents").collect()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,11 @@ WIDTH = 5
 #: 25 bands of 5 places: documents alike to 0.8 share a band with a probability of 0.9999, to 0.5 with 0.55, to 0.3 with 0.06.
 BANDS, PLACES = 25, 5
 PERMUTATIONS = BANDS * PLACES
-#: How often the documents of a band meet its smallest: by single bands, then by pairs of bands.
+#: How often the documents of a band meet its smallest: by single bands, then by pairs of bands. It only saves pairs: what
+#: is still in different classes of a band then meets in full.
 ROUNDS = 3
+#: Bands of more documents are dealt out to pairs of parts of about so many.
+PART = 1024
 #: Pairs from this Jaccard similarity on are near copies.
 LEAST = 0.8
 #: Pairs whose fingerprints say less than four standard errors below ``LEAST`` are not verified.
@@ -190,14 +194,14 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_likeness(*(np.frombuffer(b"".join(s), np.uint8).reshape(-1, PERMUTATIONS) for s in (a, b))))
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> float:
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common / max(1, len(x) + len(y) - common)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+    return pd.Series([_overlap(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype=float)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,24 +224,114 @@ def _pairs_of_bands(rows: DataFrame) -> DataFrame:
     return bands.select("rep", F.explode(two).alias("band"))
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rep`` and ``shingles`` of the documents whose id is a ``rep`` of ``wanted``."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
+    return with_ids(texts, wanted, "rep").mapInArrow(_shingle_sets, "rep long, shingles binary")
+
+
 def _verified(docs: DataFrame, close: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose shingles are alike to ``LEAST``."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
 
     def sets(side: str) -> DataFrame:
-        wanted = with_ids(texts, close.select(F.col(side).alias("rep")), "rep")
-        return wanted.mapInArrow(_shingle_sets, "rep long, shingles binary").select(F.col("rep").alias(side), F.col("shingles").alias(f"s{side}"))
+        found = _sets(docs, close.select(F.col(side).alias("rep")), id_col, text_col)
+        return found.select(F.col("rep").alias(side), F.col("shingles").alias(f"s{side}"))
 
     both = close.join(sets("b"), "b").join(sets("a"), "a")
     return stored(both.filter(_jaccard("sa", "sb") >= LEAST).select("a", "b").distinct(), "links")
 
 
+_MEMBER = ["band", "low", "high", "number", "rep", "c", "part", "fingerprint"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal ``band``, ``low`` and ``high``, which follow one another, as a table each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in _MEMBER[:3])))
+        edges = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+        for start, end in zip(edges, [*edges[1:], len(keys)]):
+            if held and keys[start] != last:
+                yield pa.Table.from_batches(held)
+                held.clear()
+            held.append(batch.slice(start, end - start))
+            last = keys[start]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _alike(group: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group, and those behind each that are of another class, first meet in this band and have fingerprints alike
+    enough. ``label`` may change meanwhile."""
+    low, high, number = (group.column(c)[0].as_py() for c in ("low", "high", "number"))
+    part, n = group.column("part").to_numpy(), len(group)
+    prints = np.frombuffer(b"".join(group.column("fingerprint").to_pylist()), np.uint8).reshape(n, PERMUTATIONS)
+    bands = prints.reshape(n, BANDS, PLACES)[:, :number]
+    for k in range(n) if low == high else np.flatnonzero(part == low):
+        others = np.arange(k + 1, n) if low == high else np.flatnonzero(part == high)
+        others = others[label[others] != label[k]]
+        others = others[_likeness(prints[others], prints[k]) >= LEAST_LIKENESS] if len(others) else others
+        others = others[~(bands[others] == bands[k]).all(2).any(1)] if len(others) else others
+        if len(others):
+            yield int(k), others
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group that are alike to another one of it."""
+    for group in _groups(batches):
+        met = np.zeros(len(group), bool)
+        for k, others in _alike(group, group.column("c").to_numpy()):
+            met[k] = met[others] = True
+        if met.any():
+            yield from group.filter(pa.array(met)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the rows of each group; none between rows that others of the group connect already."""
+    for group in _groups(batches):
+        label, rep, a, b = group.column("c").to_numpy().copy(), group.column("rep").to_numpy(), [], []
+        sets = [np.frombuffer(s, np.uint32) for s in group.column("shingles").to_pylist()]
+        for k, others in _alike(group, label):
+            for other in others:
+                if label[other] != label[k] and _overlap(sets[k], sets[other]) >= LEAST:
+                    label[label == label[other]] = label[k]
+                    a.append(min(rep[k], rep[other]))
+                    b.append(max(rep[k], rep[other]))
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _apart(docs: DataFrame, rows: DataFrame, reps: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (``a``, ``b``) between classes, of all pairs of a band that are in different classes yet.
+
+    No task holds a band: one of many documents is dealt out to parts, and each two parts meet on their own. Only
+    documents with a fingerprint alike to another one's bring their shingles, and pairs are never written."""
+    named = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("label", "rep")).drop("label")
+    split = named.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    open_rows = stored(named.join(split.filter("least < most").select("band", "parts"), "band"), "apart")
+    prints = with_ids(reps.select("rep", "fingerprint"), open_rows, "rep")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    dealt = open_rows.join(prints, "rep").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).select(*_MEMBER)
+
+    def met(members: DataFrame) -> DataFrame:
+        return members.repartition(*_MEMBER[:3]).sortWithinPartitions(*_MEMBER[:3])
+
+    live = stored(met(dealt).mapInArrow(_live, dealt.schema), "live")
+    sets = _sets(docs, live.select("rep"), id_col, text_col)
+    links = stored(met(live.join(sets, "rep").select(*_MEMBER, "shingles")).mapInArrow(_linked, "a long, b long"), "links")
+    discard(docs.sparkSession, open_rows, live)
+    return links
+
+
 def near_copies(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``class_id`` for the documents of ``marks`` (``id``: long, ``fingerprint``) that have a near copy.
 
     Documents of one fingerprint count as one. In every band, the documents with equal places meet the one with the smallest
     id, so a band of copies gives as many pairs as rows. Those that the verification keeps apart from it meet once more where
-    they share two bands, again the smallest one, and what stays apart there once again. A pair is a link when the Jaccard similarity of the texts' 64-bit shingle hashes is
+    they share two bands, again the smallest one, and what stays apart there once again. Then every two documents of a band
+    that no links connect yet are compared, so each pair that shares a band is looked at or connected. A pair is a link when the Jaccard similarity of the texts' 64-bit shingle hashes is
     at least ``LEAST``; classes are the connected groups, named by their smallest id. Texts without words and rows without
     an id have no copies.
     """
@@ -246,13 +340,14 @@ def near_copies(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
     marks = marks.select("id", "fingerprint").filter((F.col("fingerprint") != none) & F.col("id").isNotNull())
     reps = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr("fingerprint", k * PLACES + 1, F.lit(PLACES))))
-    rows = reps.select("rep", F.explode(band).alias("band"))
+    rows = reps.select("rep", F.posexplode(band).alias("number", "band"))
     links, used = [], [reps]
     for number in range(ROUNDS):
         met = stored(_with_leads(rows), "bands")
         used.append(met)
         if met.isEmpty():
             break
+        every = met if number == 0 else every
         pairs = met.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
         prints = [with_ids(reps, met.select(F.col(c).alias("rep")), "rep") for c in ("lead", "rep")]
         prints = [p.select(F.col("rep").alias(c), F.col("fingerprint").alias(f"f{c}")) for p, c in zip(prints, "ab")]
@@ -263,12 +358,13 @@ def near_copies(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
         linked = links[-1].select(F.col("a").alias("lead"), F.col("b").alias("rep"))
         rows = met.filter("rep <> lead").join(linked, ["lead", "rep"], "left_anti").select("rep", "band")
         rows = _pairs_of_bands(rows) if number == 0 else rows
-    found = None
-    for part in links:
-        found = part if found is None else found.unionByName(part)
-    same = reps.filter("copies > 1").select("rep", F.col("rep").alias("class_id"))
+    found = reduce(DataFrame.unionByName, links) if links else None
     if found is not None:
         labels = components(found)
+        used.append(_apart(docs, every.filter("rep <> lead").drop("lead"), reps, labels, id_col, text_col))
+        labels = labels if used[-1].isEmpty() else components(found.unionByName(used[-1]))
+    same = reps.filter("copies > 1").select("rep", F.col("rep").alias("class_id"))
+    if found is not None:
         merged = labels.select(F.col("v").alias("rep"), F.col("label").alias("class_id"))
         same = merged.unionByName(same.join(merged, "rep", "left_anti"))
     classes = with_ids(reps, same, "rep").join(same, "rep").select("fingerprint", "class_id")
