@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import struct
@@ -18,6 +19,7 @@ from tokenizers import Tokenizer
 from tillwise.llm import byte_bpe, chat, exact_dedup, graph, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
 from tillwise.llm.storage import prepared
 from tillwise.llm.words import Batch, span_hashes
+from tillwise.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, digest string, row long, `a.b` int, n int, v int, label string, key string"
@@ -361,6 +363,18 @@ def test_jaccard_join_of_many_near_and_half_near_copies(spark, monkeypatch, larg
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
 
 
+def test_jaccard_join_deletes_what_nothing_reads_any_more(spark):
+    """What is left behind are narrow tables; prefixes, bitmaps and shingles would be lists."""
+    text = prose(77, 200)
+    rows = [(i, edited(text, 150, i)) for i in range(6)]
+    before = set(os.listdir(folder := shared_dir(spark).removeprefix("file:")))
+    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    made = [f"{folder}/{name}" for name in set(os.listdir(folder)) - before if any(f.endswith(".parquet") for f in os.listdir(f"{folder}/{name}"))]
+    columns = {c for path in made for c in spark.read.parquet(path).columns}
+    assert made and not columns & {"prefix", "neighbours", "shingles", "key", "b0"}
+    assert found.count() == len(rows)
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (105, 101), (200, 200)]
     found = {r["v"]: r["label"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

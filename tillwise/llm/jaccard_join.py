@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.llm.graph import components
-from tillwise.llm.storage import plain_names, stored, with_ids
+from tillwise.llm.storage import discard, plain_names, stored, with_ids
 from tillwise.llm.words import Batch, batches, mix
 
 K = 2
@@ -195,7 +195,7 @@ def _candidates(reps: DataFrame, pairs: DataFrame, alike: Alike, near: bool) ->
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
-    """The pairs (``a``, ``b``) of representatives whose full sets are alike."""
+    """The pairs (``a``, ``b``) of representatives whose full sets are alike. ``pairs`` is deleted then."""
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     need = stored(reps.join(ends, "v").select("v", "doc_id", "s1", "s2"), "need")
     texts = with_ids(docs, need, "doc_id")
@@ -205,7 +205,9 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, alike: Alike)
     b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("in_b"))
     common = F.size(F.array_intersect("in_a", "in_b"))
     union = F.size("in_a") + F.size("in_b") - common
-    return pairs.join(a, "a").join(b, "b").filter(alike.den * common >= alike.num * union).select("a", "b")
+    links = stored(pairs.join(a, "a").join(b, "b").filter(alike.den * common >= alike.num * union).select("a", "b"), "links")
+    discard(docs.sparkSession, need, sets, pairs)
+    return links
 
 
 def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
@@ -217,11 +219,12 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
     first = shared.groupBy("key").agg(F.min(F.struct("v", "n")).alias("f")).select("key", F.col("f.v").alias("b"), F.col("f.n").alias("m"))
     sizes = alike.den * F.least("n", "m") >= alike.num * F.greatest("n", "m")
     star = shared.join(first, "key").filter((F.col("v") != F.col("b")) & sizes).select(F.col("v").alias("a"), "b")
-    links = stored(_verified(docs, reps, _candidates(reps, star, alike, near=False), alike), "links")
+    links = _verified(docs, reps, _candidates(reps, star, alike, near=False), alike)
 
     labelled = shared.join(components(links), "v", "left").withColumn("c", F.coalesce("label", "v")).drop("label")
     split = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     open_rows = stored(labelled.join(split.select("key"), "key", "left_semi"), "open")
+    discard(docs.sparkSession, shared)
     # A pair that also meets at the key before this one has been met there: runs of common keys give one pair, not many.
     # Bitmaps are added where the rows lie by set, for one more shuffle, by key.
     before = F.lag("key").over(Window.partitionBy("v", "size").orderBy("key"))
@@ -258,9 +261,10 @@ def _links(docs: DataFrame, reps: DataFrame, alike: Alike) -> DataFrame:
     met = meeting(rare, rare, False).unionByName(meeting(combined, combined, False))
     met = met.unionByName(meeting(many, many, False)).unionByName(meeting(many, few, True))
     more = _candidates(reps, met, alike, near=True)
+    discard(docs.sparkSession, open_rows)
     if more.isEmpty():
         return links
-    return links.unionByName(stored(_verified(docs, reps, more, alike), "links"))
+    return links.unionByName(_verified(docs, reps, more, alike))
 
 
 def _classes(docs: DataFrame, alike: Alike) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +280,9 @@ def _classes(docs: DataFrame, alike: Alike) -> tuple[DataFrame, DataFrame]:
         .select(F.col("first.row").alias("v"), F.col("first.doc_id").alias("doc_id"), "s1", "s2", "n", "prefix", "neighbours", *BITS),
         "reps",
     )
-    return rows.select("doc_id", "row", "n", "s1", "s2"), reps
+    slim = stored(rows.select("doc_id", "row", "n", "s1", "s2"), "rows")
+    discard(docs.sparkSession, rows)  # prefixes and bitmaps of copies
+    return slim, reps
 
 
 def similar_documents(
@@ -287,7 +293,8 @@ def similar_documents(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, reps = _classes(docs, alike)
     labels = components(_links(docs, reps, alike))
-    ids = reps.select("v", "s1", "s2", "doc_id").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    ids = stored(reps.select("v", "s1", "s2", "doc_id").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "ids")
+    discard(docs.sparkSession, reps)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "v")
     best = ids.groupBy("label").agg(F.min(order).alias("best"))
     members = ids.join(best, "label").select(
