@@ -224,6 +224,23 @@ def test_passages_after_excerpts_in_earlier_documents(spark, size, excerpts):
     assert prose(70, size) not in {r["doc_id"]: r["text"] for r in passages.cut(docs).collect()}[at + 1]
 
 
+@pytest.mark.parametrize("excerpts", [[(0, 30), (20, 40)], [(0, 24), (20, 24), (36, 24)]])
+def test_edited_passages_after_excerpts_in_earlier_documents(spark, excerpts):
+    """No 50 words are equal, and the seeds are frequent and come first in documents that hold less than the passage."""
+    passage, rows = prose(71, 60).split(), []
+    for copy in range(passages.RARE + 1):
+        rows += [" ".join([prose(7500 + 10 * copy + i, 40), *passage[a : a + n], prose(8500 + 10 * copy + i, 40)]) for i, (a, n) in enumerate(excerpts)]
+    at = len(rows)
+    copies = [passage, *[edited(" ".join(passage), 10, k).split() for k in (3, 6)]]
+    rows += [" ".join([prose(9300 + i, 35), *copy, prose(9400 + i, 35)]) for i, copy in enumerate(copies)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    for doc in (at + 1, at + 2):
+        assert any(r["doc_id"] == doc and r["source_doc_id"] == at for r in found)
+        assert covered(found, doc, 39, 50)
+    assert all(r["identity"] >= passages.IDENTITY and r["words"] >= passages.MIN_WORDS for r in found)
+
+
 def test_passages_are_found_from_the_declared_identity_on(spark):
     """Each place that the alignment accepts from a seed of its own is found, with edits at any distance."""
     rows, want = [], {}
