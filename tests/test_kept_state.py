@@ -321,6 +321,25 @@ def test_equal_tables_are_read_once(spark, tmp_path):
     assert "GreaterThanOrEqual(id" in a.filter(found.holds("id"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scattered_ranges_stay_cheap_to_filter(spark):
+    a = spark.range(0, 4_000_000).select((F.col("id") - 2_000_000).alias("id"), F.col("id").alias("v"))
+    wrong = [k for k in range(-1_999_000, 1_990_000, 17_001)]
+    b = a.withColumn("v", F.when(F.col("id").isin(wrong), -1).otherwise(F.col("v")))
+    found = checksums.differing_ranges(a, b, "id")
+    held = {r[0] for r in a.filter(found.holds("id")).select("id").collect()}
+    assert held >= set(wrong) and len(held) <= len(wrong) * checksums.SHORT
+    assert len(found.intervals) <= 16
+    assert checksums.reconcile_ranges(a, b, ["id"], ["v"]).count() == len(wrong)
+
+
+def test_tables_that_differ_all_over_are_summed_up_once(spark, monkeypatch):
+    levels, sums = [], checksums.range_sums
+    monkeypatch.setattr(checksums, "range_sums", lambda df, *args: levels.append(args[2]) or sums(df, *args))
+    a = spark.range(0, 8_000_000).withColumn("v", F.col("id"))
+    found = checksums.differing_ranges(a, a.withColumn("v", F.when(F.col("id") % 239 == 0, -1).otherwise(F.col("v"))), "id")
+    assert found == checksums.Ranges(((0, 7_999_999),), True) and len(levels) == 2
+
+
 def test_close_ranges_are_joined():
     assert checksums._joined([0, 10, 20, 50], 10) == ((0, 29), (50, 59))
     assert checksums._joined(list(range(0, 1000, 2)), 1, most=3)[0][0] == 0 and len(checksums._joined(list(range(0, 1000, 2)), 1, most=3)) == 3
