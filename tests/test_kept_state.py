@@ -237,6 +237,29 @@ def test_a_load_reads_only_what_is_new(spark, shop, tmp_path):
     assert {f"load={last}" in f for f in fresh.inputFiles()} == {True} and fresh.count() == 2
 
 
+def test_stage_rows_meet_few_known_ids_without_a_shuffle(spark, tmp_path, monkeypatch):
+    tables = increments.Increments(spark, str(tmp_path))
+    assert tables.ids("fact_order") is None
+    for load, ids in enumerate(([1, 40_000], [2, 3, 40_001]), 1):
+        made = spark.createDataFrame([(i,) for i in ids], "orderid_bk long")
+        tables.write("fact_order_ids", load, id_bitmaps(made, "orderid_bk"))
+        tables.finish("fact_order", load)
+    stage = spark.createDataFrame([(i,) for i in (1, 2, 4, 4, 40_001, 70_000, None)], "orderid_bk long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, plans = [], []
+        for most in (increments.BROADCAST_BITMAPS, 1):
+            monkeypatch.setattr(increments, "BROADCAST_BITMAPS", most)
+            new = not_in(stage, "orderid_bk", tables.ids("fact_order"))
+            plans.append(new._jdf.queryExecution().executedPlan().toString())
+            found.append(rows(new, "orderid_bk"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == [[(None,), (4,), (4,), (70_000,)]] * 2
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False]
+
+
 def test_a_load_can_stop_anywhere(spark, shop, tmp_path):
     """Stopped behind each step and started again, the tables come out as if nothing had happened."""
     stage, dims = shop

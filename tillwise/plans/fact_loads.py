@@ -3,7 +3,7 @@
 Known rows are removed first, by source ids the fact itself carries, so that an incremental load resolves dimension
 keys for new rows only, and a later dimension version never makes an old line look new. Where one id names the row at its
 source (order lines, history rows, orders), known ids are exact bitmaps: ``loaded`` takes those kept with the fact, and
-without them they are made from its id column; either way no id of the fact is shuffled.
+without them they are made from its id column; either way no id of the fact is shuffled. With neither, all rows are new.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ def _layout(fact: str, key: str) -> list[str]:
 
 def _new(rows: DataFrame, name: str, fact: DataFrame | None, loaded: DataFrame | None) -> DataFrame:
     column = ROW_IDS[name]
+    if loaded is None and fact is None:
+        return rows
     return not_in(rows, column, loaded if loaded is not None else id_bitmaps(fact, column))
 
 

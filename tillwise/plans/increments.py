@@ -29,6 +29,8 @@ from tillwise.sources.readers import TableReader
 MARKS = "table string, load long, highest_key long, source string, read_upto long"
 _KEYS = {"fact_cart_line": "cartline_key", "fact_order_line": "orderline_key", "fact_order_history": "orderhistory_key", "fact_order": "order_key"}
 _IDS = f"{BUCKET} long, {BITS} binary"
+#: Bitmaps of known ids that meet stage rows where these are read: 128 MB at most. More of them meet the rows in a shuffle.
+BROADCAST_BITMAPS = 32_768
 
 
 class Increments:
@@ -73,9 +75,14 @@ class Increments:
         schema = T.StructType([*WAREHOUSE[name].fields, T.StructField(PARTITION_COLUMN, T.IntegerType())])
         return self.loads(name, schema, first, self.upto(name)[0] if last is None else last)
 
-    def ids(self, name: str) -> DataFrame:
-        """Bitmaps of all ids loaded into a fact."""
-        return merged(self.loads(f"{name}_ids", _IDS, 1, self.upto(name)[0]))
+    def ids(self, name: str) -> DataFrame | None:
+        """Bitmaps of all ids loaded into a fact, sent to every task unless they are too many; None before the first load."""
+        last = self.upto(name)[0]
+        if not last:
+            return None
+        made = self.loads(f"{name}_ids", _IDS, 1, last)
+        few = made.select(BUCKET).distinct().limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
+        return F.broadcast(merged(made)) if few else merged(made)
 
     def append(self, name: str, rows: DataFrame, **read: int) -> int:
         """One load of a fact: rows with new keys, the bitmaps of their ids, the mark. Returns the number of rows."""
