@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tillwise.operators.calendar import date_frame, time_frame
 from tillwise.operators.facts import delete_where, incremental_append, rejected
-from tillwise.operators.joins import attach, fanout_left_join, hot_keys, key_hash
+from tillwise.operators import joins
+from tillwise.operators.joins import attach, dealt_left_join, fanout_left_join, hot_keys, key_hash
 from tillwise.operators.listing import filtered, last_page, page_count, page_rows
 from tillwise.operators.lookup import calendar_keys, lookup_key
 from tillwise.operators.median import exact_median
@@ -98,6 +99,19 @@ def test_fanout_left_join(spark):
     assert rows(fanout_left_join(left, right, ["k"]), "v", "w") == expected
 
 
+def test_dealt_left_join_shares_the_rows_to_be_made(spark, monkeypatch):
+    """The same rows as the fan-out join, and no task makes most of them, though few are read and one key has most."""
+    lefts = [("hot" if i < 40 else f"k{i % 5}", i) for i in range(60)] + [(None, 70), ("alone", 71), ("hot", 3)]
+    rights = [("hot" if i < 50 else f"k{i % 6}", i if i % 9 else None) for i in range(80)] + [(None, 5), ("hot", 3), ("other", 4)]
+    left, right = spark.createDataFrame(lefts, "k string, v int"), spark.createDataFrame(rights, "k string, w int")
+    want = rows(fanout_left_join(left, right, ["k"]), "k", "v", "w")
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    made = dealt_left_join(left, right, ["k"], (left.select("k"), right.select("k")))
+    assert made.columns == ["k", "v", "w"] and rows(made, "k", "v", "w") == want
+    tasks = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < len(want) / 3 and len(tasks) > 5
+
+
 def test_lookup_prefers_current_then_highest_key(spark):
     dim = spark.sql(
         "SELECT * FROM VALUES (1, 10, DATE '2020-01-01'), (2, 10, DATE '9999-12-31'), (9, 10, DATE '2021-01-01'), "
