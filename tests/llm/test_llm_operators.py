@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillwise.llm import byte_bpe, chat, exact_dedup, graph, html_text, jaccard_join, line_crf, packing, passages, url_filter, warc
-from tillwise.llm.storage import prepared
+from tillwise.llm.storage import prepared, stored
 from tillwise.llm.words import Batch, span_hashes
 from tillwise.session import shared_dir
 
@@ -277,6 +277,67 @@ def test_chaining_finds_the_best_score(seed):
     assert score == pytest.approx(brute_chain(pairs))
 
 
+def test_matches_in_line_are_chained_without_a_search(monkeypatch):
+    """Matches that follow one another in both orders with small gaps are one chain; all others are searched as before."""
+    import pyarrow as pa
+
+    rng, searched = random.Random(1), []
+    search = passages.chains
+    monkeypatch.setattr(passages, "chains", lambda pairs: searched.append(1) or search(pairs))
+    lines, others = [], []
+    for _ in range(60):
+        at, line = (rng.randrange(9), rng.randrange(9)), []
+        for _ in range(rng.randint(4, 30)):
+            line.append(at)
+            at = (at[0] + rng.randint(1, 33), at[1] + rng.randint(1, 33))
+        lines.append(line)
+        others.append([*line, (line[-1][0] + 1, line[0][1]), (line[-1][0] + 70, line[-1][1] + 70)])
+    for group, most in ((lines, 0), (others, 60)):
+        rows = [{"c": 9, "l": k, "matches": [{"x": x, "y": y, "flat": False} for x, y in rng.sample(pairs, len(pairs))]} for k, pairs in enumerate(group)]
+        record = pa.RecordBatch.from_pylist(rows, pa.schema([("c", pa.int64()), ("l", pa.int64()), ("matches", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("flat", pa.bool_())])))]))
+        found = [(r["l"], r["xs"], r["ys"]) for b in passages._chained(iter([record])) for r in b.to_pylist()]
+        assert len(searched) == most
+        want = [(k, *map(list, zip(*chain))) for k, pairs in enumerate(group) for chain in search(pairs) if len(chain) >= passages.LEAST_SEEDS]
+        assert found == want
+
+
+def test_the_third_round_meets_in_parts(spark, monkeypatch):
+    """Pairs are made and met in parts, so that the disk they take doesn't grow with their number; no passage is lost."""
+    rows, at = [], 0
+    for copy in range(passages.RARE + 2):
+        for part in range(6):
+            rows.append((at, f"{prose(100 + at, 30)} {' '.join(prose(70, 240).split()[part * 40 : part * 40 + 45])} {prose(300 + at, 30)}"))
+            at += 1
+    rows += [(at + k, f"{prose(500 + k, 30)} {prose(70, 240)}") for k in range(4)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), []
+    write = passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, label: labels.append(label) or write(df, label))
+    whole = sorted(map(tuple, passages.repeated_passages(docs).collect()))
+    steps = Counter(labels)
+    monkeypatch.setattr(passages, "MET_A_TEXT", 20)
+    monkeypatch.setattr(passages, "PAIRS_A_TEXT", 0.5)
+    labels.clear()
+    assert sorted(map(tuple, passages.repeated_passages(docs).collect())) == whole and whole
+    parts = Counter(labels)
+    assert parts["chains"] > steps["chains"] and parts["pairs"] > steps["pairs"], (parts, steps)
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    """Nothing reads them again; before, they stayed on disk until the driver collected its garbage."""
+    import time
+
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.name() for f in (kept.getAllBlocks().apply(i) for i in range(kept.getAllBlocks().size())) if "shuffle" in f.name()}
+    before, usual = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    made = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and made.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == usual
+
+
 def test_common_words_is_the_longest_common_subsequence():
     assert passages.common_words([1, 2, 3, 4, 5], [2, 9, 4, 5, 1]) == 3 and passages.common_words([], [1]) == 0
 
